@@ -204,4 +204,4 @@ def all_queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
 
-_QUERY_MODULES: list[str] = []
+_QUERY_MODULES: list[str] = ["airmetrics.plans.queries_tables"]

@@ -76,4 +76,7 @@ airports1 AS (
 def with_base(body: str, extra_ctes: str = "") -> str:
     """``WITH <base ctes>[, <extra>] <body>``."""
     extra = f",\n{extra_ctes}" if extra_ctes.strip() else ""
+    text = body.lstrip()
+    if text[:5].upper() == "WITH ":  # merge the body's own CTEs into the list
+        return f"WITH {BASE_CTES}{extra},\n{text[5:]}"
     return f"WITH {BASE_CTES}{extra}\n{body}"

@@ -17,6 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BLK = "_scan_blk"
+ROWS_PER_BLOCK = 1_000_000
+
+
+def blocks_for(rows: int, max_blocks: int | None = None, per_block: int = ROWS_PER_BLOCK) -> int:
+    """Block count for a scan over ``rows`` rows: one block (one task) while the
+    input is at most ``per_block`` rows, more as it grows (capped at max_blocks)."""
+    n = max(1, -(-int(rows) // per_block))
+    return min(n, max_blocks) if max_blocks else n
 
 
 def _block_count(df: DataFrame, blocks: int | None) -> int:
@@ -50,11 +58,14 @@ _OPS = {
 
 
 def prefix_scan(df: DataFrame, key: str, specs: dict[str, tuple[str, str | Column]],
-                blocks: int | None = None, inclusive: bool = True) -> DataFrame:
+                blocks: int | None = None, inclusive: bool = True,
+                tiebreak: list[str] | None = None) -> DataFrame:
     """Running aggregates in ascending ``key`` order.
 
     ``specs``: output column -> (op, value column) with op in sum/min/max/last.
     ``inclusive=False`` gives the aggregate of strictly earlier rows.
+    ``tiebreak``: further ordering columns among rows with the same key (rows
+    with equal keys always share a block).
     """
     b = with_blocks(df, key, blocks)
     vals = {out: (F.col(v) if isinstance(v, str) else v) for out, (_, v) in specs.items()}
@@ -66,7 +77,7 @@ def prefix_scan(df: DataFrame, key: str, specs: dict[str, tuple[str, str | Colum
     offs = summary.select(_BLK, *[_OPS[op][0](F.col(f"_tot_{o}")).over(before).alias(f"_off_{o}")
                                   for o, (op, _) in specs.items()])
     hi = Window.currentRow if inclusive else -1
-    w = Window.partitionBy(_BLK).orderBy(key).rowsBetween(Window.unboundedPreceding, hi)
+    w = Window.partitionBy(_BLK).orderBy(key, *(tiebreak or [])).rowsBetween(Window.unboundedPreceding, hi)
     within = b.select("*", *[_OPS[op][0](vals[o]).over(w).alias(f"_in_{o}") for o, (op, _) in specs.items()])
     # ``offs`` has one row per block: bounded by the block count, safe to broadcast.
     j = within.join(F.broadcast(offs), _BLK, "left")
@@ -85,10 +96,11 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
     """
     v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     g = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    n = g.agg(F.sum("c")).first()[0] or 0
+    st = g.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("distinct")).first()
+    n = st["n"] or 0
     if n == 0:
         return g.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(f"q{i}") for i in range(len(probs))])
-    s = prefix_scan(g, "v", {"cum": ("sum", "c")})
+    s = prefix_scan(g, "v", {"cum": ("sum", "c")}, blocks=blocks_for(st["distinct"]))
     aggs = []
     for i, p in enumerate(probs):
         pos = p * (n - 1)

@@ -204,4 +204,4 @@ def all_queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
 
-_QUERY_MODULES: list[str] = ["airmetrics.plans.queries_tables", "airmetrics.plans.queries_stream", "airmetrics.plans.queries_sql", "airmetrics.plans.queries_model"]
+_QUERY_MODULES: list[str] = ["airmetrics.plans.queries_tables", "airmetrics.plans.queries_stream", "airmetrics.plans.queries_sql", "airmetrics.plans.queries_model", "airmetrics.plans.queries_io"]

@@ -57,3 +57,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint dir for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the shared checkpoint folder (eager).
+
+    Used for small intermediates that several later actions read: they are read
+    back from the checkpoint instead of recomputing their whole lineage, and a
+    lost executor does not force that recomputation either.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

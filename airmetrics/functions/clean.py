@@ -10,13 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Date layouts accepted by ``parse_fl_date``, tried in this order. ISO first,
-# then compact ISO, then month-first ("general" parsing of US records), then
-# day-first. Layouts with a clock part drop the time.
-DATE_ONLY_FORMATS = ("yyyy-MM-dd", "yyyyMMdd", "M/d/yyyy", "M-d-yyyy")
-DATE_TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "M/d/yyyy h:mm:ss a",
-                     "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm")
-DAY_FIRST_FORMATS = ("d-M-yyyy",)
+# Date layouts accepted by ``parse_fl_date``, tried in this order, each with the
+# text shape it needs. ISO first, then compact ISO, then month-first ("general"
+# parsing of US records), then date-time layouts (time dropped), then day-first.
+# The shape test is a cheap regex; the parser (whose failures are costly) only
+# sees strings of a matching shape.
+_ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
+_COMPACT = r"^\d{8}$"
+_SLASH = r"^\d{1,2}/\d{1,2}/\d{4}$"
+_DASH = r"^\d{1,2}-\d{1,2}-\d{4}$"
+_ISO_TIME = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d"
+_SLASH_TIME = r"^\d{1,2}/\d{1,2}/\d{4} \d"
+DATE_LAYOUTS = [  # (shape, pattern, has time)
+    (_ISO, "yyyy-MM-dd", False),
+    (_COMPACT, "yyyyMMdd", False),
+    (_SLASH, "M/d/yyyy", False),
+    (_DASH, "M-d-yyyy", False),
+    (_ISO_TIME, "yyyy-MM-dd HH:mm:ss", True),
+    (_ISO_TIME, "yyyy-MM-dd'T'HH:mm:ss", True),
+    (_SLASH_TIME, "M/d/yyyy h:mm:ss a", True),
+    (_SLASH_TIME, "M/d/yyyy H:mm:ss", True),
+    (_SLASH_TIME, "M/d/yyyy H:mm", True),
+    (_DASH, "d-M-yyyy", False),
+]
 
 SECONDS_PER_DAY = 86400
 LAST_SECOND = SECONDS_PER_DAY - 1  # "2400" is stored as 23:59:59
@@ -80,9 +96,10 @@ def parse_fl_date(col: Column | str) -> Column:
     then day-first with '-' (so 03-04-2018 is 4 March, 13-04-2018 is 13 April).
     """
     s = F.trim(_c(col).cast("string"))
-    candidates = [F.try_to_date(s, f) for f in DATE_ONLY_FORMATS]
-    candidates += [F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in DATE_TIME_FORMATS]
-    candidates += [F.try_to_date(s, f) for f in DAY_FIRST_FORMATS]
+    candidates = []
+    for shape, fmt, has_time in DATE_LAYOUTS:
+        parsed = F.to_date(F.try_to_timestamp(s, F.lit(fmt))) if has_time else F.try_to_date(s, fmt)
+        candidates.append(F.when(s.rlike(shape), parsed))
     return F.coalesce(*candidates)
 
 

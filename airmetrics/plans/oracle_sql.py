@@ -9,7 +9,7 @@ explicitly, because integer/double result types differ between the engines.
 from __future__ import annotations
 
 
-def _clock(minute_expr: str) -> str:
+def clock_sql(minute_expr: str) -> str:
     return (f"CAST(CASE ok % 101 WHEN 0 THEN 86399 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL "
             f"ELSE (pk % 24) * 3600 + ({minute_expr}) * 60 END AS INTEGER)")
 
@@ -42,13 +42,13 @@ flights AS (
     CAST(pk AS VARCHAR) AS op_carrier_fl_num,
     CAST(10000 + snk AS INTEGER) AS origin_airport_id,
     CAST(10000 + cnk AS INTEGER) AS dest_airport_id,
-    {_clock("sk % 60")} AS crs_dep_time,
-    {_clock("(sk % 60 + ln) % 60")} AS dep_time,
+    {clock_sql("sk % 60")} AS crs_dep_time,
+    {clock_sql("(sk % 60 + ln) % 60")} AS dep_time,
     CASE WHEN canc THEN NULL ELSE CAST(floor(qty) - 25 AS DOUBLE) END AS dep_delay,
-    {_clock("(sk % 60 + ln) % 60")} AS wheels_off,
-    {_clock("(sk % 60 + ln) % 60")} AS wheels_on,
-    {_clock("(sk % 60 + ln) % 60")} AS crs_arr_time,
-    {_clock("(sk % 60 + ln) % 60")} AS arr_time,
+    {clock_sql("(sk % 60 + ln) % 60")} AS wheels_off,
+    {clock_sql("(sk % 60 + ln) % 60")} AS wheels_on,
+    {clock_sql("(sk % 60 + ln) % 60")} AS crs_arr_time,
+    {clock_sql("(sk % 60 + ln) % 60")} AS arr_time,
     CASE WHEN canc OR dive THEN NULL ELSE CAST(floor(qty) - 20 AS DOUBLE) END AS arr_delay,
     canc AS cancelled,
     dive AS diverted,

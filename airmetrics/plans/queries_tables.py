@@ -8,7 +8,7 @@ from airmetrics.operators import filters as flt
 from airmetrics.operators import modelling as mdl
 from airmetrics.operators import profile as prof
 from airmetrics.plans.catalog import airports, flights, register
-from airmetrics.plans.oracle_sql import with_base
+from airmetrics.plans.oracle_sql import clock_sql, with_base
 from airmetrics.schemas import FLIGHT_COLUMNS
 from airmetrics.sources import fixtures as fx
 
@@ -84,10 +84,10 @@ def q_parse_flight_dates(spark, sf_dir):
                       parse_fl_date("FL_DATE").alias("fl_date"))
 
 
-@register("parse_hhmm_times", with_base("""
-SELECT r.flight_id_raw AS flight_id, r.crs_raw AS crs_dep_time_raw, f.crs_dep_time, f.dep_time
-FROM (SELECT *, CAST(((ok * 100000 + pk) * 10000 + sk) * 10 + ln AS BIGINT) AS flight_id_raw FROM raw) r
-JOIN flights f ON f.flight_id = r.flight_id_raw""", RAW_CTE))
+@register("parse_hhmm_times", with_base(f"""
+SELECT CAST(((ok * 100000 + pk) * 10000 + sk) * 10 + ln AS BIGINT) AS flight_id, crs_raw AS crs_dep_time_raw,
+       {clock_sql("sk % 60")} AS crs_dep_time, {clock_sql("(sk % 60 + ln) % 60")} AS dep_time
+FROM raw""", RAW_CTE))
 def q_parse_hhmm_times(spark, sf_dir):
     from airmetrics.functions.clean import hhmm_to_seconds
     raw = _raw(spark, sf_dir)

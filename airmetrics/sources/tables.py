@@ -68,13 +68,15 @@ def upsert_to_new_path(spark: SparkSession, target: DataFrame, updates: DataFram
     return path
 
 
-# Validation rules of the incremental copy, first failing rule names the error.
-DEFAULT_RULES = [
-    ("fl_date", F.col("fl_date").isNotNull(), "fl_date missing or unparseable"),
-    ("op_carrier", F.col("op_carrier").isNotNull(), "op_carrier missing"),
-    ("airports", F.col("origin_airport_id").isNotNull() & F.col("dest_airport_id").isNotNull(), "airport id missing"),
-    ("crs_dep_time", F.col("crs_dep_time").isNotNull(), "crs_dep_time missing or invalid"),
-]
+def default_rules() -> list[tuple[str, Column, str]]:
+    """Validation rules of the incremental copy; the first failing rule names the error."""
+    return [
+        ("fl_date", F.col("fl_date").isNotNull(), "fl_date missing or unparseable"),
+        ("op_carrier", F.col("op_carrier").isNotNull(), "op_carrier missing"),
+        ("airports", F.col("origin_airport_id").isNotNull() & F.col("dest_airport_id").isNotNull(),
+         "airport id missing"),
+        ("crs_dep_time", F.col("crs_dep_time").isNotNull(), "crs_dep_time missing or invalid"),
+    ]
 
 
 def incremental_append(src: DataFrame, high_water, key: str = "flight_id",
@@ -85,7 +87,7 @@ def incremental_append(src: DataFrame, high_water, key: str = "flight_id",
     from one projection; each batch is retried by Spark as a whole task, so a
     failed worker neither loses nor duplicates rows.
     """
-    rules = rules or DEFAULT_RULES
+    rules = rules or default_rules()
     new = src if high_water is None else src.where(F.col(key) > F.lit(high_water))
     err = F.lit(None).cast("string")
     for _, ok, text in reversed(rules):

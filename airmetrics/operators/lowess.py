@@ -19,13 +19,14 @@ Plan, all exact:
    so h(x0) = min(x0 - max{l : mid <= x0}, min{r : mid > x0} - x0): two more
    running scans (max forward, min backward) instead of any pairing;
 4. neighbours within h: a band join of the distinct-x grid with itself through
-   bucket ids (equi-join on bucket, then the distance test). Only pairs inside
+   quantile bucket ids (equi-join on bucket, then the distance test). Only pairs inside
    each radius are produced; there is no cartesian product.
 5. five weighted sums per x0 (hash aggregate) -> the fit.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,12 @@ from airmetrics.session import cut_lineage
 DEFAULT_FRAC = 2.0 / 3.0
 
 
+def _bucket_splits(grid: DataFrame, buckets: int) -> list[float]:
+    """Bucket edges at quantiles of the distinct x values (driver gets <= buckets values)."""
+    qs = grid.approxQuantile("x", [i / buckets for i in range(1, buckets)], 0.001) if buckets > 1 else []
+    return [float("-inf")] + sorted(set(qs)) + [float("inf")]
+
+
 def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, buckets: int = 64,
            blocks: int | None = None, digits: int | None = 6) -> DataFrame:
     """-> (<x>, n, fitted), one row per distinct non-null x."""
@@ -87,16 +94,19 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, buckets: i
     radius = cut_lineage(fw.join(bw, "x0").select(
         "x0", "c0", F.least(F.col("x0") - F.col("maxl"), F.col("minr") - F.col("x0")).alias("h")))
 
-    # 4. band join through bucket ids
-    lo, hi = float(stats["lo"]), float(stats["hi"])
-    width = (hi - lo) / buckets if hi > lo else 1.0
+    # 4. band join through bucket ids. Buckets are quantiles of the distinct x
+    # values, so each holds about the same number of candidates even when x is
+    # concentrated in a narrow range.
+    splits = _bucket_splits(grid, buckets)
 
-    def bucket(v):
-        return F.floor((v - F.lit(lo)) / F.lit(width)).cast("long")
+    def bucketed(df, src, out):
+        return Bucketizer(splits=splits, inputCol=src, outputCol=out, handleInvalid="keep").transform(df)
 
-    near = radius.select("x0", "c0", "h", F.explode(F.sequence(bucket(F.col("x0") - F.col("h")),
-                                                               bucket(F.col("x0") + F.col("h")))).alias("bkt"))
-    cells = grid.select("x", "c", "sy", bucket(F.col("x")).alias("bkt"))
+    near = radius.select("x0", "c0", "h", (F.col("x0") - F.col("h")).alias("_lo"), (F.col("x0") + F.col("h")).alias("_hi"))
+    near = bucketed(bucketed(near, "_lo", "_blo"), "_hi", "_bhi")
+    near = near.select("x0", "c0", "h", F.explode(F.sequence(F.col("_blo").cast("long"),
+                                                             F.col("_bhi").cast("long"))).alias("bkt"))
+    cells = bucketed(grid, "x", "_b").select("x", "c", "sy", F.col("_b").cast("long").alias("bkt"))
     d = F.abs(F.col("x") - F.col("x0"))
     pairs = near.join(cells, "bkt").where((d < F.col("h")) | (d == 0))
     u = d / F.col("h")

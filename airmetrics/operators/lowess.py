@@ -9,8 +9,9 @@ sits on one x). h = 0 (k rows at x0 itself) gives the mean at x0.
 
 Plan, all exact:
 1. rows -> (x, count, sum y) per distinct x (partial aggregation; a hot x value
-   never gathers its rows in one task). The small intermediates (grid, ranks,
-   runs, radii) are checkpointed so the later scans do not recompute the input;
+   never gathers its rows in one task). The grid is checkpointed: every later
+   step reads it instead of recomputing the input; the later intermediates are
+   at most a few rows per distinct x;
 2. ranks from a distributed running sum (``scan.prefix_scan``);
 3. the radius: the k nearest rows form a contiguous run in x order, and an
    optimal run starts at the first row of a value or ends at the last row of a
@@ -58,9 +59,8 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, buckets: i
     blocks = blocks or blocks_for(3 * stats["g"])
 
     # 2. ranks: rows of value x occupy 0-based ranks [first, last]
-    ranked = cut_lineage(prefix_scan(grid, "x", {"cum": ("sum", "c")}, blocks=blocks)
-                         .select("x", "c", "sy", (F.col("cum") - F.col("c")).alias("first"),
-                                 (F.col("cum") - 1).alias("last")))
+    ranked = (prefix_scan(grid, "x", {"cum": ("sum", "c")}, blocks=blocks)
+              .select("x", "c", "sy", (F.col("cum") - F.col("c")).alias("first"), (F.col("cum") - 1).alias("last")))
 
     # 3a. candidate runs of k rows; the missing end is the value at a rank
     a = ranked.where(F.col("first") + k - 1 <= n - 1).select(
@@ -74,7 +74,6 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, buckets: i
     at = prefix_scan(lookup, "key", {"at": ("last", "val")}, blocks=blocks, tiebreak=["tag"]).where(F.col("tag") == 1)
     runs = at.select(F.when(F.col("side") == "A", F.col("known")).otherwise(F.col("at")).alias("l"),
                      F.when(F.col("side") == "A", F.col("at")).otherwise(F.col("known")).alias("r")).distinct()
-    runs = cut_lineage(runs)
 
     # 3b. radius per distinct x0 from two running scans over runs + probes
     mid = (F.col("l") + F.col("r")) / 2
@@ -91,8 +90,8 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, buckets: i
                                      F.lit(None).cast("double").alias("rval"), "x0")))
     bw = prefix_scan(bw, "key", {"minr": ("min", "rval")}, blocks=blocks, tiebreak=["tag"]) \
         .where(F.col("tag") == 0).select("x0", "minr")
-    radius = cut_lineage(fw.join(bw, "x0").select(
-        "x0", "c0", F.least(F.col("x0") - F.col("maxl"), F.col("minr") - F.col("x0")).alias("h")))
+    radius = fw.join(bw, "x0").select(
+        "x0", "c0", F.least(F.col("x0") - F.col("maxl"), F.col("minr") - F.col("x0")).alias("h"))
 
     # 4. band join through bucket ids. Buckets are quantiles of the distinct x
     # values, so each holds about the same number of candidates even when x is

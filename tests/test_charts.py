@@ -78,3 +78,20 @@ def test_describe_quartiles_match_numpy(spark):
 def test_head_is_key_ordered(flights_small):
     ids = [r.flight_id for r in prof.head(flights_small, 5).collect()]
     assert ids == sorted(ids) and len(ids) == 5
+
+
+def test_single_pass_summary_equals_per_chart(spark, flights_small):
+    from airmetrics.plans import dashboard as dash
+    from airmetrics.operators import filters as flt
+    airports = catalog.airports(spark, SF_SMALL)
+    summary = dash.chart_summary(flights_small)
+    keyed = dash.charts_from_summary(summary, airports)
+    per_chart = dash.chart_functions(airports)
+    per_chart["delay_by_airport"] = ch.delay_by_airport
+
+    def rows(df):
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    for name, df in keyed.items():
+        assert df.columns == per_chart[name](flights_small).columns, name
+        assert rows(df) == rows(per_chart[name](flights_small)), name
+    assert rows(dash.facets_from_summary(summary)) == rows(flt.facets(flights_small))

@@ -86,6 +86,11 @@ upd AS (
   FROM airports WHERE state_name = 'AMERICA')""")
 
 
+def _built_airports(spark, sf_dir):
+    """The airports table built from the flight records."""
+    return mdl.build_airports(mdl.canonical_columns(fx.flights_raw(spark, sf_dir)))
+
+
 def _airport_updates(a):
     changed = a.where(F.col("state_name") != "ASIA").withColumn("city_name", F.lower("city_name"))
     new = a.where(F.col("state_name") == "AMERICA").withColumn("airport_seq_id", F.col("airport_seq_id") + 50)
@@ -95,7 +100,7 @@ def _airport_updates(a):
 @register("upsert_airports", UPSERT_SQL)
 def q_upsert_airports(spark, sf_dir):
     """Replace changed airports, insert new sequence rows, write to a new path."""
-    a = airports(spark, sf_dir)
+    a = _built_airports(spark, sf_dir)
     path = tbl.upsert_to_new_path(spark, a, _airport_updates(a), ["airport_id", "airport_seq_id"],
                                   _fresh(spark, "airports"))
     return spark.read.parquet(path)
@@ -104,7 +109,7 @@ def q_upsert_airports(spark, sf_dir):
 @register("upsert_airports_twice", UPSERT_SQL)
 def q_upsert_airports_twice(spark, sf_dir):
     """S5 is idempotent: applying the same updates twice equals applying them once."""
-    a = airports(spark, sf_dir)
+    a = _built_airports(spark, sf_dir)
     u = _airport_updates(a)
     once = tbl.upsert(a, u, ["airport_id", "airport_seq_id"])
     return tbl.upsert(once, u, ["airport_id", "airport_seq_id"])

@@ -336,7 +336,8 @@ def q_page_airlines(spark, sf_dir):
 
 @register("list_airports", with_base("SELECT * FROM airports"))
 def q_list_airports(spark, sf_dir):
-    return airports(spark, sf_dir)
+    """the airports table as built from the flight records."""
+    return mdl.build_airports(mdl.canonical_columns(_raw(spark, sf_dir)))
 
 
 @register("sample_flights", with_base("""

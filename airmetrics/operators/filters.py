@@ -184,16 +184,38 @@ def flight_projection(df: DataFrame) -> DataFrame:
                        for c in df.columns if c != "fl_month"])
 
 
+DEEP_PAGE_ROWS = 100_000  # beyond this offset, pages come from a distributed rank
+
+
 def page(df: DataFrame, key: str | list[str] = "flight_id", page_no: int = 1, size: int = 50) -> DataFrame:
-    """page >= 1, 1 <= size <= 1000; rows ordered by key (stable pages)."""
+    """page >= 1, 1 <= size <= 1000; rows ordered by key (stable pages).
+
+    Shallow pages are ``orderBy(key).offset(k).limit(n)`` (a per-partition top
+    k+n, merged). Deep pages would make that top-k grow with the offset, so past
+    ``DEEP_PAGE_ROWS`` rows the page is cut from global row numbers computed by a
+    distributed running count (one numeric key, unique) and a range filter.
+    """
     if page_no < 1 or not 1 <= size <= 1000:
         raise ValueError("page must be >= 1 and 1 <= size <= 1000")
     keys = [key] if isinstance(key, str) else key
-    ordered = df.orderBy(*keys)
     off = (page_no - 1) * size
+    if off + size > DEEP_PAGE_ROWS and len(keys) == 1:
+        return page_by_rank(df, keys[0], off, size)
+    ordered = df.orderBy(*keys)
     return (ordered.offset(off) if off else ordered).limit(size)
 
 
+def page_by_rank(df: DataFrame, key: str, offset: int, size: int) -> DataFrame:
+    """Rows ranked offset+1 .. offset+size in ``key`` order, without a global top-k."""
+    from airmetrics.operators.scan import blocks_for, prefix_scan
+
+    rows = df.count()
+    ranked = prefix_scan(df.withColumn("_one", F.lit(1)), key, {"_rank": ("sum", "_one")},
+                         blocks=blocks_for(rows))
+    return (ranked.where((F.col("_rank") > offset) & (F.col("_rank") <= offset + size))
+            .drop("_one", "_rank").orderBy(key))
+
+
 def page_after(df: DataFrame, key: str, last_key, size: int = 50) -> DataFrame:
     """F10 keyset form for deep pages: rows with key > last_key, first ``size``.
     The predicate is pushed to the scan; cost does not grow with the page number."""

@@ -20,9 +20,13 @@ _BLK = "_scan_blk"
 ROWS_PER_BLOCK = 1_000_000
 
 
-def blocks_for(rows: int, max_blocks: int | None = None, per_block: int = ROWS_PER_BLOCK) -> int:
+MAX_BLOCKS = 10_000  # block boundaries reach the driver: keep their count bounded
+
+
+def blocks_for(rows: int, max_blocks: int | None = MAX_BLOCKS, per_block: int | None = None) -> int:
     """Block count for a scan over ``rows`` rows: one block (one task) while the
     input is at most ``per_block`` rows, more as it grows (capped at max_blocks)."""
+    per_block = per_block or ROWS_PER_BLOCK
     n = max(1, -(-int(rows) // per_block))
     return min(n, max_blocks) if max_blocks else n
 
@@ -67,8 +71,16 @@ def prefix_scan(df: DataFrame, key: str, specs: dict[str, tuple[str, str | Colum
     ``tiebreak``: further ordering columns among rows with the same key (rows
     with equal keys always share a block).
     """
-    b = with_blocks(df, key, blocks)
     vals = {out: (F.col(v) if isinstance(v, str) else v) for out, (_, v) in specs.items()}
+    hi = Window.currentRow if inclusive else -1
+    if _block_count(df, blocks) == 1:
+        # one block: the running aggregate is the answer (the caller sized the
+        # input, see ``blocks_for``), no offsets to add
+        w = Window.orderBy(key, *(tiebreak or [])).rowsBetween(Window.unboundedPreceding, hi)
+        outs = [_OPS[op][0](vals[o]).over(w) for o, (op, _) in specs.items()]
+        outs = [F.coalesce(c, F.lit(0)) if op == "sum" else c for c, (op, _) in zip(outs, specs.values())]
+        return df.select(*df.columns, *[c.alias(o) for c, o in zip(outs, specs)])
+    b = with_blocks(df, key, blocks)
     summary = b.groupBy(_BLK).agg(*[
         (F.sum(vals[o]) if op == "sum" else F.min(vals[o]) if op == "min" else
          F.max(vals[o]) if op == "max" else F.max_by(vals[o], F.when(vals[o].isNotNull(), F.col(key))))
@@ -76,7 +88,6 @@ def prefix_scan(df: DataFrame, key: str, specs: dict[str, tuple[str, str | Colum
     before = Window.orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     offs = summary.select(_BLK, *[_OPS[op][0](F.col(f"_tot_{o}")).over(before).alias(f"_off_{o}")
                                   for o, (op, _) in specs.items()])
-    hi = Window.currentRow if inclusive else -1
     w = Window.partitionBy(_BLK).orderBy(key, *(tiebreak or [])).rowsBetween(Window.unboundedPreceding, hi)
     within = b.select("*", *[_OPS[op][0](vals[o]).over(w).alias(f"_in_{o}") for o, (op, _) in specs.items()])
     # ``offs`` has one row per block: bounded by the block count, safe to broadcast.

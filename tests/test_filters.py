@@ -69,3 +69,21 @@ def test_route_filter_pushes_integer_predicates(spark, tmp_path, capsys):
     flt.filter_route(df, "10001 → 10003").explain(mode="formatted")
     plan = capsys.readouterr().out
     assert "PushedFilters" in plan and "EqualTo(origin_airport_id,10001)" in plan
+
+
+def test_deep_page_by_rank_equals_offset_page(spark):
+    from airmetrics.operators.scan import ROWS_PER_BLOCK  # noqa: F401
+    df = spark.range(0, 5000).selectExpr("id * 7 % 5003 as k", "id as v")
+    exp = [r.k for r in df.orderBy("k").offset(2100).limit(50).collect()]
+    got = [r.k for r in flt.page_by_rank(df, "k", 2100, 50).collect()]
+    assert got == exp
+
+
+def test_deep_page_multi_block(spark, monkeypatch):
+    import airmetrics.operators.scan as scan
+    monkeypatch.setattr(scan, "ROWS_PER_BLOCK", 500)
+    monkeypatch.setattr(flt, "DEEP_PAGE_ROWS", 1000)
+    df = spark.range(0, 5000).selectExpr("(id * 7919) % 5000 as k", "id as v")
+    exp = [tuple(r) for r in df.orderBy("k").offset(3000).limit(40).collect()]
+    got = [tuple(r) for r in flt.page(df, "k", 76, 40).collect()]
+    assert got == exp

@@ -54,22 +54,34 @@ def to_bool(col: Column | str) -> Column:
     return F.coalesce(v != F.lit(0.0), F.lit(False))
 
 
+def hhmm_truncated(col: Column | str) -> Column:
+    """C6 step 1: number or text -> HHMM as a whole number (``int(float(x))``:
+    truncated toward zero); blanks, text, NaN and infinities -> null."""
+    x = _c(col).try_cast("double")
+    return F.when(F.abs(x) < F.lit(1.0e9), x.cast("long"))  # false for NaN and infinities
+
+
+def seconds_from_hhmm(t: Column | str) -> Column:
+    """C6 step 2: whole HHMM -> seconds of day. 2400 maps to 23:59:59; negative
+    values, values above 2359 and minutes above 59 give null."""
+    t = _c(t)
+    minutes = t % 100
+    seconds = (F.floor(t / 100) * 3600 + minutes * 60).cast("int")
+    return (F.when(t == 2400, F.lit(LAST_SECOND))
+             .when((t < 0) | (t > 2359) | (minutes > 59), F.lit(None).cast("int"))
+             .otherwise(seconds))
+
+
 def hhmm_to_seconds(col: Column | str) -> Column:
     """HHMM clock (number or text) -> seconds of day (int).
 
     ``int(float(x))`` semantics: the value is truncated toward zero, so 930.7 is
     09:30 and -0.5 is 00:00. 2400 maps to 23:59:59. Negative values, values above
     2359, minutes above 59, blanks, text, NaN and infinities give null.
+    For many columns at once prefer the two steps in separate projections
+    (see ``operators.modelling.build_flights``): the shared step is then computed once.
     """
-    v = _c(col).try_cast("double")
-    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(1.0e9))
-    t = F.when(finite, v.cast("long"))
-    hours = F.floor(t / 100)
-    minutes = t % 100
-    seconds = (hours * 3600 + minutes * 60).cast("int")
-    return (F.when(t == 2400, F.lit(LAST_SECOND))
-             .when((t < 0) | (t > 2359) | (minutes > 59), F.lit(None).cast("int"))
-             .otherwise(seconds))
+    return seconds_from_hhmm(hhmm_truncated(col))
 
 
 def seconds_to_hhmmss(col: Column | str) -> Column:
@@ -89,13 +101,14 @@ def parse_iso_date(col: Column | str) -> Column:
     return F.to_date(_c(col), "yyyy-MM-dd")
 
 
-def parse_fl_date(col: Column | str) -> Column:
-    """Many date layouts -> date; unparseable -> null; time part dropped.
+def date_text(col: Column | str) -> Column:
+    """C5 step 1: the trimmed text of a date value."""
+    return F.trim(_c(col).cast("string"))
 
-    Order: ISO, compact ISO, month-first with '/' and '-', date-time layouts,
-    then day-first with '-' (so 03-04-2018 is 4 March, 13-04-2018 is 13 April).
-    """
-    s = F.trim(_c(col).cast("string"))
+
+def parse_date_text(s: Column | str) -> Column:
+    """C5 step 2: trimmed text -> date, trying ``DATE_LAYOUTS`` in order."""
+    s = _c(s)
     candidates = []
     for shape, fmt, has_time in DATE_LAYOUTS:
         parsed = F.to_date(F.try_to_timestamp(s, F.lit(fmt))) if has_time else F.try_to_date(s, fmt)
@@ -103,6 +116,15 @@ def parse_fl_date(col: Column | str) -> Column:
     return F.coalesce(*candidates)
 
 
+def parse_fl_date(col: Column | str) -> Column:
+    """Many date layouts -> date; unparseable -> null; time part dropped.
+
+    Order: ISO, compact ISO, month-first with '/' and '-', date-time layouts,
+    then day-first with '-' (so 03-04-2018 is 4 March, 13-04-2018 is 13 April).
+    """
+    return parse_date_text(date_text(col))
+
+
 def route_label(origin: Column | str, dest: Column | str) -> Column:
     """'origin → dest' (U+2192 with spaces); null unless both ends are known."""
     o, d = _c(origin), _c(dest)

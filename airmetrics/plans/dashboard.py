@@ -164,6 +164,20 @@ class Dashboard:
 
     summary: DataFrame | None = None
 
+    def collect(self, parallel: int = 8) -> dict[str, list]:
+        """Run every chart (and the facets) as concurrent Spark jobs and return
+        their small results. The jobs are independent, so submitting them from a
+        few driver threads overlaps their scheduling latency; the work itself
+        stays in the executors."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        frames = dict(self.charts)
+        if self.facets is not None:
+            frames["facets"] = self.facets
+        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+            futures = {name: pool.submit(df.collect) for name, df in frames.items()}
+            return {name: f.result() for name, f in futures.items()}
+
     def release(self) -> None:
         self.frame.unpersist()
         if self.summary is not None:

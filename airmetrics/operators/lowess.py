@@ -1,11 +1,14 @@
 """LOWESS trend curve (A9 curve) as distributed DataFrame jobs.
 
-Definition (local linear fit, tricube weights, no robustness passes):
+Definition (local linear fit, tricube weights, then robustness passes):
 for every distinct x0, ``k = int(frac * n + 1e-10)`` rows nearest to x0 define
 the radius h (the k-th smallest |x - x0| over all rows); rows with
 |x - x0| < h get weight (1 - (|x - x0| / h)^3)^3 and the fitted value is the
 weighted least-squares line evaluated at x0 (the weighted mean when all weight
-sits on one x). h = 0 (k rows at x0 itself) gives the mean at x0.
+sits on one x). h = 0 (k rows at x0 itself) gives the mean at x0. Each
+robustness pass multiplies every row's weight by the bisquare of its residual
+over 6 x the median absolute residual (0 beyond), and fits again over the same
+neighbourhoods.
 
 Plan, all exact:
 1. rows -> (x, count, sum y) per distinct x (partial aggregation; a hot x value
@@ -22,7 +25,10 @@ Plan, all exact:
 4. neighbours within h: a band join of the distinct-x grid with itself through
    quantile bucket ids (equi-join on bucket, then the distance test). Only pairs inside
    each radius are produced; there is no cartesian product.
-5. five weighted sums per x0 (hash aggregate) -> the fit.
+5. five weighted sums per x0 (hash aggregate) -> the fit;
+6. robustness passes: rows join the curve on x, the median absolute residual
+   comes from the distributed exact quantile, and the per-x sums are rebuilt
+   with the row weights; the neighbour pairs are reused.
 """
 
 from __future__ import annotations
@@ -31,10 +37,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airmetrics.operators.scan import blocks_for, prefix_scan
+from airmetrics.operators.joins import DEFAULT_BROADCAST_ROWS
+from airmetrics.operators.scan import blocks_for, exact_quantiles, prefix_scan
 from airmetrics.session import cut_lineage
 
-DEFAULT_FRAC = 2.0 / 3.0
+# The span and the number of robustness passes the reference's
+# plotting call uses (its default trend-line options).
+DEFAULT_FRAC = 0.6666666
+DEFAULT_ITERATIONS = 3
 
 
 def _bucket_splits(grid: DataFrame, buckets: int) -> list[float]:
@@ -43,11 +53,13 @@ def _bucket_splits(grid: DataFrame, buckets: int) -> list[float]:
     return [float("-inf")] + sorted(set(qs)) + [float("inf")]
 
 
-def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, buckets: int = 64,
-           blocks: int | None = None, digits: int | None = 6) -> DataFrame:
+def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, iterations: int = DEFAULT_ITERATIONS,
+           buckets: int = 64, blocks: int | None = None, digits: int | None = 6) -> DataFrame:
     """-> (<x>, n, fitted), one row per distinct non-null x."""
     pts = (df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
            .where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")))
+    if iterations > 0:  # the robustness passes read the points again
+        pts = cut_lineage(pts)
     grid = cut_lineage(pts.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("sy")))
     stats = grid.agg(F.sum("c").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
                      F.count(F.lit(1)).alias("g")).first()
@@ -105,24 +117,61 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, buckets: i
     near = bucketed(bucketed(near, "_lo", "_blo"), "_hi", "_bhi")
     near = near.select("x0", "c0", "h", F.explode(F.sequence(F.col("_blo").cast("long"),
                                                              F.col("_bhi").cast("long"))).alias("bkt"))
-    cells = bucketed(grid, "x", "_b").select("x", "c", "sy", F.col("_b").cast("long").alias("bkt"))
+    cells = bucketed(grid, "x", "_b").select("x", F.col("_b").cast("long").alias("bkt"))
     d = F.abs(F.col("x") - F.col("x0"))
-    pairs = near.join(cells, "bkt").where((d < F.col("h")) | (d == 0))
     u = d / F.col("h")
     tri = F.lit(1.0) - u * u * u
     w = F.when(F.col("h") == 0, F.lit(1.0)).otherwise(tri * tri * tri)
-    sums = pairs.groupBy("x0", "c0").agg(
-        F.sum(w * F.col("c")).alias("W"), F.sum(w * F.col("c") * F.col("x")).alias("Sx"),
-        F.sum(w * F.col("c") * F.col("x") * F.col("x")).alias("Sxx"), F.sum(w * F.col("sy")).alias("Sy"),
-        F.sum(w * F.col("x") * F.col("sy")).alias("Sxy"))
+    # neighbour pairs with their tricube weight; they depend on x only, so every
+    # robustness pass reuses them
+    pairs = near.join(cells, "bkt").where((d < F.col("h")) | (d == 0)).select("x0", "c0", "x", w.alias("w"))
+    if iterations > 0:
+        pairs = cut_lineage(pairs)
+
+    fitted = _fit(pairs, grid)
+    for _ in range(iterations):
+        fitted = cut_lineage(fitted)
+        grid = _robust_grid(pts, fitted, stats["g"])
+        fitted = _fit(pairs, grid)
+    out = fitted.select(F.col("x0").alias(x), F.col("c0").alias("n"), "fitted")
+    if digits is not None:
+        out = out.withColumn("fitted", F.round("fitted", digits))
+    return out
+
 
-    # 5. weighted least squares at x0
+def _fit(pairs: DataFrame, grid: DataFrame) -> DataFrame:
+    """5. weighted least squares at each x0 from the neighbour pairs and the
+    per-x weight and weighted y sums (c, sy) -> (x0, c0, fitted)."""
+    j = pairs.join(grid, "x")
+    sums = j.groupBy("x0", "c0").agg(
+        F.sum(F.col("w") * F.col("c")).alias("W"), F.sum(F.col("w") * F.col("c") * F.col("x")).alias("Sx"),
+        F.sum(F.col("w") * F.col("c") * F.col("x") * F.col("x")).alias("Sxx"),
+        F.sum(F.col("w") * F.col("sy")).alias("Sy"), F.sum(F.col("w") * F.col("x") * F.col("sy")).alias("Sxy"))
     xbar = F.col("Sx") / F.col("W")
     ybar = F.col("Sy") / F.col("W")
     var = F.col("Sxx") / F.col("W") - xbar * xbar
     cov = F.col("Sxy") / F.col("W") - xbar * ybar
-    fit = F.when(var > F.lit(1e-9) * (xbar * xbar + F.lit(1.0)), ybar + (F.col("x0") - xbar) * cov / var).otherwise(ybar)
-    out = sums.select(F.col("x0").alias(x), F.col("c0").alias("n"), fit.alias("fitted"))
-    if digits is not None:
-        out = out.withColumn("fitted", F.round("fitted", digits))
-    return out
+    fit = F.when(F.col("W") <= 0, F.lit(None).cast("double")) \
+        .when(var > F.lit(1e-9) * (xbar * xbar + F.lit(1.0)), ybar + (F.col("x0") - xbar) * cov / var) \
+        .otherwise(ybar)
+    return sums.select("x0", "c0", fit.alias("fitted"))
+
+
+def _robust_grid(pts: DataFrame, fitted: DataFrame, distinct_x: int) -> DataFrame:
+    """One robustness pass: residuals against the current curve, bisquare
+    weights scaled by 6 x the median absolute residual (exact, distributed), and
+    the per-x weight sums for the next fit."""
+    curve = fitted.select(F.col("x0").alias("x"), "fitted")
+    # the curve has one row per distinct x: its size is known, no count needed
+    curve = F.broadcast(curve) if distinct_x <= DEFAULT_BROADCAST_ROWS else curve
+    res = pts.join(curve, "x").select("x", "y", F.abs(F.col("y") - F.col("fitted")).alias("r"))
+    m = exact_quantiles(res, "r", [0.5]).first()[0]
+    if m is None:
+        delta = F.lit(0.0)
+    elif m == 0:
+        delta = F.when(F.col("r") == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    else:
+        u = F.col("r") / F.lit(6.0 * m)
+        delta = F.when(u >= 1, F.lit(0.0)).otherwise((F.lit(1.0) - u * u) * (F.lit(1.0) - u * u))
+    weighted = res.select("x", "y", F.coalesce(delta, F.lit(0.0)).alias("d"))
+    return weighted.groupBy("x").agg(F.sum("d").alias("c"), F.sum(F.col("d") * F.col("y")).alias("sy"))

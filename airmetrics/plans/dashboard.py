@@ -156,14 +156,20 @@ def facets_from_summary(summary: DataFrame) -> DataFrame:
 
 @dataclass
 class Dashboard:
+    """Chart frames are built on demand: some builders run small actions of
+    their own (histogram bounds, LOWESS steps), and ``collect`` runs those
+    inside its worker threads too."""
     window: flt.Window
     no_data: bool
     frame: DataFrame
-    charts: dict[str, DataFrame] = field(default_factory=dict)
+    builders: dict = field(default_factory=dict)
     facets: DataFrame | None = None
-
     summary: DataFrame | None = None
 
+    @property
+    def charts(self) -> dict[str, DataFrame]:
+        return {name: build() for name, build in self.builders.items()}
+
     def collect(self, parallel: int = 8) -> dict[str, list]:
         """Run every chart (and the facets) as concurrent Spark jobs and return
         their small results. The jobs are independent, so submitting them from a
@@ -171,11 +177,13 @@ class Dashboard:
         stays in the executors."""
         from concurrent.futures import ThreadPoolExecutor
 
-        frames = dict(self.charts)
+        jobs = {name: (lambda b=build: b().collect()) for name, build in self.builders.items()}
         if self.facets is not None:
-            frames["facets"] = self.facets
+            jobs["facets"] = self.facets.collect
+        # the slowest builders first, so they start while the small ones run
+        order = sorted(jobs, key=lambda n: n not in ("distance_airtime_lowess", "arrival_delay_histogram"))
         with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-            futures = {name: pool.submit(df.collect) for name, df in frames.items()}
+            futures = {name: pool.submit(jobs[name]) for name in order}
             return {name: f.result() for name, f in futures.items()}
 
     def release(self) -> None:
@@ -201,20 +209,18 @@ def dashboard(flights: DataFrame, airports: DataFrame, start=None, end=None, rou
         frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
     if frame.isEmpty():  # F8
         return Dashboard(win, True, frame, {}, flt.facets(window_frame))
+    bind = lambda fn: (lambda: fn(frame))
     lowess_fn = None
     if with_lowess:
         from airmetrics.operators.lowess import lowess
         lowess_fn = lambda d: lowess(d, "distance", "air_time")
     fns = chart_functions(airports, lowess_fn)
     if not single_pass:
-        built = {name: fn(frame) for name, fn in fns.items()}
-        return Dashboard(win, False, frame, built, flt.facets(frame))
+        return Dashboard(win, False, frame, {name: bind(fn) for name, fn in fns.items()}, flt.facets(frame))
     summary = chart_summary(frame).persist(StorageLevel.MEMORY_AND_DISK)
     keyed = charts_from_summary(summary, airports)
-    built = {name: (keyed[name] if name in keyed else fn(frame)) for name, fn in fns.items()}
-    d = Dashboard(win, False, frame, built, facets_from_summary(summary))
-    d.summary = summary
-    return d
+    builders = {name: ((lambda df=keyed[name]: df) if name in keyed else bind(fn)) for name, fn in fns.items()}
+    return Dashboard(win, False, frame, builders, facets_from_summary(summary), summary)
 
 
 def params_key(**params) -> str:
@@ -231,9 +237,9 @@ def materialize_dashboard(flights: DataFrame, airports: DataFrame, base: str, **
     key = params_key(**params)
     paths = {}
     try:
-        for name, df in d.charts.items():
+        for name, build in d.builders.items():
             path = f"{base.rstrip('/')}/charts/{name}/params={key}"
-            df.write.mode("overwrite").parquet(path)
+            build().write.mode("overwrite").parquet(path)
             paths[name] = path
     finally:
         d.release()

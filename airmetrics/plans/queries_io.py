@@ -26,33 +26,59 @@ def _fresh(spark, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-LOWESS_CTES = """
+def _lowess_sql(iterations: int = 3, frac: str = "0.6666666") -> str:
+    """The LOWESS definition in SQL on the (small) distinct-x grid, with the
+    robustness passes unrolled. All pairs of distinct values are formed here,
+    which is fine for an oracle on a test table."""
+    def fit(name: str, grid: str) -> str:
+        return f"""
+ss{name} AS (SELECT p.x0, p.c0, sum(p.w * q.c) AS W, sum(p.w * q.c * p.x) AS Sx, sum(p.w * q.c * p.x * p.x) AS Sxx,
+                    sum(p.w * q.sy) AS Sy, sum(p.w * p.x * q.sy) AS Sxy
+             FROM ww p JOIN {grid} q ON p.x = q.x GROUP BY p.x0, p.c0),
+fit{name} AS (SELECT x0, c0, CASE WHEN W <= 0 THEN NULL
+    WHEN (Sxx / W - (Sx / W) * (Sx / W)) > 1e-9 * ((Sx / W) * (Sx / W) + 1.0)
+    THEN Sy / W + (x0 - Sx / W) * (Sxy / W - (Sx / W) * (Sy / W)) / (Sxx / W - (Sx / W) * (Sx / W))
+    ELSE Sy / W END AS fitted FROM ss{name})"""
+
+    ctes = [f"""
 pts AS (SELECT distance AS x, air_time AS y FROM flights WHERE distance IS NOT NULL AND air_time IS NOT NULL),
-g AS (SELECT x, count(*) AS c, sum(y) AS sy FROM pts GROUP BY x),
-kk AS (SELECT greatest(1, CAST(floor(2.0 / 3.0 * count(*) + 1e-10) AS BIGINT)) AS k FROM pts),
-pr AS (SELECT a.x AS x0, a.c AS c0, b.x, b.c, b.sy, abs(b.x - a.x) AS d FROM g a, g b),
+g0 AS (SELECT x, CAST(count(*) AS DOUBLE) AS c, sum(y) AS sy FROM pts GROUP BY x),
+kk AS (SELECT greatest(1, CAST(floor({frac} * count(*) + 1e-10) AS BIGINT)) AS k FROM pts),
+pr AS (SELECT a.x AS x0, a.c AS c0, b.x, b.c, abs(b.x - a.x) AS d FROM g0 a, g0 b),
 cu AS (SELECT x0, d, sum(c) OVER (PARTITION BY x0 ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cc
        FROM pr),
 hh AS (SELECT x0, min(d) AS h FROM cu, kk WHERE cc >= k GROUP BY x0),
-ww AS (SELECT p.x0, p.c0, p.x, p.c, p.sy,
+ww AS (SELECT p.x0, CAST(p.c0 AS BIGINT) AS c0, p.x,
          CASE WHEN hh.h = 0 THEN 1.0 ELSE
            (1.0 - (p.d / hh.h) * (p.d / hh.h) * (p.d / hh.h)) * (1.0 - (p.d / hh.h) * (p.d / hh.h) * (p.d / hh.h))
            * (1.0 - (p.d / hh.h) * (p.d / hh.h) * (p.d / hh.h)) END AS w
-       FROM pr p JOIN hh ON p.x0 = hh.x0 WHERE p.d < hh.h OR p.d = 0),
-ss AS (SELECT x0, c0, sum(w * c) AS W, sum(w * c * x) AS Sx, sum(w * c * x * x) AS Sxx, sum(w * sy) AS Sy,
-              sum(w * x * sy) AS Sxy FROM ww GROUP BY x0, c0)"""
-
-
-@register("distance_airtime_lowess", with_base("""
-SELECT x0 AS distance, c0 AS n,
-  round(CASE WHEN (Sxx / W - (Sx / W) * (Sx / W)) > 1e-9 * ((Sx / W) * (Sx / W) + 1.0)
-        THEN Sy / W + (x0 - Sx / W) * (Sxy / W - (Sx / W) * (Sy / W)) / (Sxx / W - (Sx / W) * (Sx / W))
-        ELSE Sy / W END, 6) AS fitted
-FROM ss""", LOWESS_CTES))
+       FROM pr p JOIN hh ON p.x0 = hh.x0 WHERE p.d < hh.h OR p.d = 0)""", fit("0", "g0")]
+    for i in range(1, iterations + 1):
+        ctes.append(f"""
+res{i} AS (SELECT p.x, p.y, abs(p.y - f.fitted) AS r FROM pts p JOIN fit{i - 1} f ON p.x = f.x0),
+med{i} AS (SELECT quantile_cont(r, 0.5) AS m FROM res{i}),
+g{i} AS (SELECT x, sum(d) AS c, sum(d * y) AS sy FROM (
+  SELECT x, y, CASE WHEN m = 0 THEN (CASE WHEN r = 0 THEN 1.0 ELSE 0.0 END)
+                    WHEN r / (6.0 * m) >= 1 THEN 0.0
+                    ELSE (1.0 - (r / (6.0 * m)) * (r / (6.0 * m))) * (1.0 - (r / (6.0 * m)) * (r / (6.0 * m))) END AS d
+  FROM res{i}, med{i}) t GROUP BY x)""")
+        ctes.append(fit(str(i), f"g{i}"))
+    body = f"SELECT x0 AS distance, c0 AS n, round(fitted, 6) AS fitted FROM fit{iterations}"
+    return with_base(body, ",".join(ctes))
+
+
+@register("distance_airtime_lowess", _lowess_sql())
 def q_distance_airtime_lowess(spark, sf_dir):
+    """A9 curve with the reference's options (span 0.6666666, 3 robustness passes)."""
     return lowess(ch.distance_airtime_pairs(flights(spark, sf_dir)), "distance", "air_time")
 
 
+@register("distance_airtime_lowess_plain", _lowess_sql(iterations=0))
+def q_distance_airtime_lowess_plain(spark, sf_dir):
+    """A9 curve without robustness passes (one local linear fit per distinct x)."""
+    return lowess(ch.distance_airtime_pairs(flights(spark, sf_dir)), "distance", "air_time", iterations=0)
+
+
 @register("csv_round_trip", with_base(f"SELECT {_ALL} FROM flights"))
 def q_csv_round_trip(spark, sf_dir):
     """S2 then S1: raw records to CSV, read back as text, cleaned (C11)."""

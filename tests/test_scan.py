@@ -34,36 +34,53 @@ def test_exact_quantiles(spark):
         assert abs(got[f"q{i}"] - np.quantile(vals, p)) < 1e-9
 
 
-def brute_lowess(x, y, frac):
+def brute_lowess(x, y, frac, iterations=0):
+    """The definition, row by row: k nearest rows give the radius, tricube weights,
+    weighted linear fit; robustness passes reweight rows by the bisquare of
+    residual / (6 * median |residual|)."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     n = len(x)
     k = max(1, int(frac * n + 1e-10))
-    out = {}
-    for x0 in np.unique(x):
-        d = np.abs(x - x0)
-        h = np.sort(d)[k - 1]
-        if h == 0:
-            w = (d == 0).astype(float)
-        else:
-            u = d / h
-            w = np.where(d < h, (1 - u ** 3) ** 3, 0.0)
-        sw = w.sum()
-        xb = (w * x).sum() / sw
-        yb = (w * y).sum() / sw
-        var = (w * x * x).sum() / sw - xb * xb
-        cov = (w * x * y).sum() / sw - xb * yb
-        out[x0] = yb + (x0 - xb) * cov / var if var > 1e-9 * (xb * xb + 1) else yb
+    rw = np.ones(n)
+    xs = np.unique(x)
+    h = {x0: np.sort(np.abs(x - x0))[k - 1] for x0 in xs}
+    for it in range(iterations + 1):
+        out = {}
+        for x0 in xs:
+            d = np.abs(x - x0)
+            if h[x0] == 0:
+                w = (d == 0).astype(float)
+            else:
+                u = d / h[x0]
+                w = np.where(d < h[x0], (1 - u ** 3) ** 3, 0.0)
+            w = w * rw
+            sw = w.sum()
+            xb = (w * x).sum() / sw
+            yb = (w * y).sum() / sw
+            var = (w * x * x).sum() / sw - xb * xb
+            cov = (w * x * y).sum() / sw - xb * yb
+            out[x0] = yb + (x0 - xb) * cov / var if var > 1e-9 * (xb * xb + 1) else yb
+        if it < iterations:
+            r = np.abs(y - np.array([out[v] for v in x]))
+            m = np.median(r)
+            if m == 0:
+                rw = (r == 0).astype(float)
+            else:
+                u = np.minimum(r / (6.0 * m), 1.0)
+                rw = (1 - u ** 2) ** 2
     return out
 
 
-@pytest.mark.parametrize("blocks,frac", [(None, 2 / 3), (4, 2 / 3), (3, 0.2), (None, 0.05)])
-def test_lowess_brute_force(spark, blocks, frac):
+@pytest.mark.parametrize("blocks,frac,its", [(None, 2 / 3, 0), (4, 2 / 3, 0), (3, 0.2, 0), (None, 0.05, 0),
+                                             (None, 0.6666666, 3), (4, 0.3, 2)])
+def test_lowess_brute_force(spark, blocks, frac, its):
     rng = np.random.default_rng(11)
     x = rng.integers(0, 60, 700).astype(float) * 2.5
-    y = 3 + 0.4 * x + rng.normal(0, 5, 700)
+    y = 3 + 0.4 * x + rng.normal(0, 5, 700) + np.where(rng.random(700) < 0.05, 80.0, 0.0)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
-    got = {r.x: r.fitted for r in lowess(df, "x", "y", frac=frac, blocks=blocks, digits=None).collect()}
-    exp = brute_lowess(x, y, frac)
+    got = {r.x: r.fitted for r in lowess(df, "x", "y", frac=frac, iterations=its, blocks=blocks,
+                                         digits=None).collect()}
+    exp = brute_lowess(x, y, frac, its)
     assert set(got) == set(exp)
     for k in exp:
         assert abs(got[k] - exp[k]) < 1e-6, (k, got[k], exp[k])
@@ -74,7 +91,7 @@ def test_lowess_heavy_value(spark):
     x = [5.0] * 80 + [1.0, 2.0, 9.0, 12.0] * 5
     y = [float(i % 7) for i in range(len(x))]
     df = spark.createDataFrame(list(zip(x, y)), "x double, y double")
-    got = {r.x: r.fitted for r in lowess(df, "x", "y", digits=None).collect()}
-    exp = brute_lowess(x, y, 2 / 3)
+    got = {r.x: r.fitted for r in lowess(df, "x", "y", iterations=0, digits=None).collect()}
+    exp = brute_lowess(x, y, 0.6666666)
     for k in exp:
         assert abs(got[k] - exp[k]) < 1e-6

@@ -58,7 +58,7 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, iterations
     """-> (<x>, n, fitted), one row per distinct non-null x."""
     pts = (df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
            .where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")))
-    if iterations > 0:  # the robustness passes read the points again
+    if iterations > 0 and not df.is_cached:  # the robustness passes read the points again
         pts = cut_lineage(pts)
     grid = cut_lineage(pts.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("sy")))
     stats = grid.agg(F.sum("c").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
@@ -131,7 +131,7 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, iterations
     fitted = _fit(pairs, grid)
     for _ in range(iterations):
         fitted = cut_lineage(fitted)
-        grid = _robust_grid(pts, fitted, stats["g"])
+        grid = _robust_grid(pts, fitted, stats["g"], n)
         fitted = _fit(pairs, grid)
     out = fitted.select(F.col("x0").alias(x), F.col("c0").alias("n"), "fitted")
     if digits is not None:
@@ -157,15 +157,18 @@ def _fit(pairs: DataFrame, grid: DataFrame) -> DataFrame:
     return sums.select("x0", "c0", fit.alias("fitted"))
 
 
-def _robust_grid(pts: DataFrame, fitted: DataFrame, distinct_x: int) -> DataFrame:
+def _robust_grid(pts: DataFrame, fitted: DataFrame, distinct_x: int, n: int) -> DataFrame:
     """One robustness pass: residuals against the current curve, bisquare
     weights scaled by 6 x the median absolute residual (exact, distributed), and
     the per-x weight sums for the next fit."""
     curve = fitted.select(F.col("x0").alias("x"), "fitted")
     # the curve has one row per distinct x: its size is known, no count needed
     curve = F.broadcast(curve) if distinct_x <= DEFAULT_BROADCAST_ROWS else curve
-    res = pts.join(curve, "x").select("x", "y", F.abs(F.col("y") - F.col("fitted")).alias("r"))
-    m = exact_quantiles(res, "r", [0.5]).first()[0]
+    # a point whose neighbourhood has no weight left has no fit; it counts as
+    # fitted by its own value (residual 0), so every point has a residual
+    res = pts.join(curve, "x").select(
+        "x", "y", F.abs(F.col("y") - F.coalesce(F.col("fitted"), F.col("y"))).alias("r"))
+    m = exact_quantiles(res, "r", [0.5], n=n).first()[0]
     if m is None:
         delta = F.lit(0.0)
     elif m == 0:

@@ -99,19 +99,23 @@ def prefix_scan(df: DataFrame, key: str, specs: dict[str, tuple[str, str | Colum
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], n: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / percentile_cont).
 
     Values are first reduced to (value, count), then ranks come from a
     distributed running sum; no task sees all values. -> one row, columns q0..qk.
+    ``n``: the number of non-null values when the caller knows it (saves a job).
     """
     v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     g = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    st = g.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("distinct")).first()
-    n = st["n"] or 0
+    if n is None:
+        st = g.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("distinct")).first()
+        n, distinct = st["n"] or 0, st["distinct"]
+    else:
+        distinct = n  # an upper bound is enough to size the blocks
     if n == 0:
         return g.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(f"q{i}") for i in range(len(probs))])
-    s = prefix_scan(g, "v", {"cum": ("sum", "c")}, blocks=blocks_for(st["distinct"]))
+    s = prefix_scan(g, "v", {"cum": ("sum", "c")}, blocks=blocks_for(distinct))
     aggs = []
     for i, p in enumerate(probs):
         pos = p * (n - 1)

@@ -55,7 +55,7 @@ ww AS (SELECT p.x0, CAST(p.c0 AS BIGINT) AS c0, p.x,
        FROM pr p JOIN hh ON p.x0 = hh.x0 WHERE p.d < hh.h OR p.d = 0)""", fit("0", "g0")]
     for i in range(1, iterations + 1):
         ctes.append(f"""
-res{i} AS (SELECT p.x, p.y, abs(p.y - f.fitted) AS r FROM pts p JOIN fit{i - 1} f ON p.x = f.x0),
+res{i} AS (SELECT p.x, p.y, abs(p.y - coalesce(f.fitted, p.y)) AS r FROM pts p JOIN fit{i - 1} f ON p.x = f.x0),
 med{i} AS (SELECT quantile_cont(r, 0.5) AS m FROM res{i}),
 g{i} AS (SELECT x, sum(d) AS c, sum(d * y) AS sy FROM (
   SELECT x, y, CASE WHEN m = 0 THEN (CASE WHEN r = 0 THEN 1.0 ELSE 0.0 END)

@@ -48,10 +48,17 @@ def register_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
 def run_select(spark: SparkSession, tables: dict[str, DataFrame], sql: str, admin: bool = False) -> DataFrame:
     """Q1/Q3: run one guarded query over the given tables; errors propagate."""
     text = check_read_only(sql, admin)
-    if not admin:
-        spark.conf.set("spark.sql.runSQLOnFiles", "false")
     register_tables(spark, tables)
-    return spark.sql(text)
+    if admin:
+        return spark.sql(text)
+    # ``spark.sql`` resolves the text right away, so direct file reads only need
+    # to be off while it does; the caller's setting is restored afterwards.
+    previous = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+    spark.conf.set("spark.sql.runSQLOnFiles", "false")
+    try:
+        return spark.sql(text)
+    finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", previous)
 
 
 def select_to_csv(spark: SparkSession, tables: dict[str, DataFrame], sql: str, path: str,

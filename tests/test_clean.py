@@ -45,3 +45,32 @@ def test_to_number(spark):
     out = _one(spark, ["-5.0", "", "n/a", "NaN", "12"], to_number)
     assert out[0] == -5.0 and out[1] is None and out[2] is None and out[3] is None and out[4] == 12.0
     assert not any(isinstance(v, float) and math.isnan(v) for v in out if v is not None)
+
+
+def test_parse_iso_date_is_strict(spark):
+    import pytest
+    from pyspark.errors import SparkRuntimeException  # noqa: F401
+    from airmetrics.functions.clean import parse_iso_date
+    ok = spark.createDataFrame([("2018-01-02",)], "v string").select(parse_iso_date("v")).first()[0]
+    assert ok == dt.date(2018, 1, 2)
+    with pytest.raises(Exception):
+        spark.createDataFrame([("02/01/2018",)], "v string").select(parse_iso_date("v")).collect()
+
+
+def test_columns_without_reading_rows(spark):
+    from airmetrics.operators.profile import columns
+    df = spark.createDataFrame([], "a int, b string")
+    assert columns(df) == [("a", "int"), ("b", "string")]
+
+
+def test_canonical_names_from_source_names(spark):
+    import pytest
+    from airmetrics import schemas
+    from airmetrics.operators.modelling import canonical_columns, canonical_names
+    src = {v: k for k, v in schemas.SOURCE_TO_CANONICAL.items()}
+    names = [src.get(c, c) for c in schemas.CANONICAL_COLUMNS] + ["TaxiOut", "Year"]
+    df = spark.createDataFrame([tuple("1" for _ in names)], ", ".join(f"`{n}` string" for n in names))
+    out = canonical_columns(df)
+    assert out.columns == [c.lower() for c in schemas.CANONICAL_COLUMNS]
+    with pytest.raises(ValueError):
+        canonical_names(df.drop("FlightDate"))

@@ -56,3 +56,17 @@ def test_materialize_dashboard(spark, flights_small):
     paths = materialize_dashboard(flights_small, catalog.airports(spark, SF_SMALL), base)
     assert len(paths) == 15
     assert spark.read.parquet(paths["delay_by_state"]).count() == 5
+
+
+def test_read_table_parquet_and_append(spark):
+    base = scratch_path(spark, f"t-{uuid.uuid4().hex}")
+    df = spark.range(10).selectExpr("id", "cast(id % 3 as string) as p")
+    files.append_table(df, base, ["p"])
+    files.append_table(df, base, ["p"])
+    back = tbl.read_table(spark, base)
+    assert back.count() == 20 and back.where("p = '1'").count() == 6
+
+
+def test_to_records(spark):
+    rec = files.to_records(spark.createDataFrame([(1, "a", None)], "i int, s string, d double")).first()[0]
+    assert rec == '{"i":1,"s":"a"}'

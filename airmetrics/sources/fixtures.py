@@ -161,7 +161,11 @@ def airports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _epoch(ts):
-    return F.unix_seconds(ts.cast("timestamp"))
+    """Whole epoch seconds of a wall-clock (timestamp_ntz) value read as UTC,
+    independent of the session time zone."""
+    utc = F.make_timestamp(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts),
+                           F.second(ts).cast("decimal(8,6)"), F.lit("UTC"))
+    return F.unix_seconds(utc)
 
 
 def state_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def test_second_statement_refused_by_parser(spark):
 def test_file_reads_refused_by_spark_too(spark, tmp_path):
     from pyspark.errors import AnalysisException
     spark.range(3).write.parquet(str(tmp_path / "p"))
-    # the text guard is bypassed on purpose (admin=False but no backtick form): Spark itself refuses
+    # refused by the text guard (and Spark has file reads switched off while resolving)
     with pytest.raises((AnalysisException, SqlRefused)):
         run_select(spark, {}, f"select * from parquet.`{tmp_path / 'p'}`").collect()
     assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"

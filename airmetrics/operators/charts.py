@@ -99,6 +99,14 @@ def distance_airtime_pairs(flights: DataFrame) -> DataFrame:
     return flights.select("flight_id", "distance", "air_time").dropna(subset=["distance", "air_time"])
 
 
+def distance_airtime_points(flights: DataFrame) -> DataFrame:
+    """A9 (points, for display): distinct (distance, air_time) points with their
+    row count. Nothing is dropped: every pair is one of the points, weighted by
+    n. The size is bounded by the distinct pairs, not by the rows."""
+    return (flights.select("distance", "air_time").dropna()
+            .groupBy("distance", "air_time").agg(F.count(F.lit(1)).alias("n")))
+
+
 def cancellation_rate(flights: DataFrame, n: int = TOP_N) -> DataFrame:
     """A10: cancellation % per carrier, top n. Carriers with no cancellation are
     absent (the reference divides aligned series and drops the NaN)."""

@@ -141,6 +141,13 @@ def q_distance_airtime_pairs(spark, sf_dir):
     return charts.distance_airtime_pairs(flights(spark, sf_dir))
 
 
+@register("distance_airtime_points", with_base("""
+SELECT distance, air_time, count(*) AS n FROM flights WHERE distance IS NOT NULL AND air_time IS NOT NULL
+GROUP BY distance, air_time"""))
+def q_distance_airtime_points(spark, sf_dir):
+    return charts.distance_airtime_points(flights(spark, sf_dir))
+
+
 @register("cancellation_rate", with_base("""
 SELECT op_carrier, 100.0 * count(*) FILTER (WHERE cancelled) / count(*) AS cancel_rate_pct
 FROM flights WHERE op_carrier IS NOT NULL GROUP BY op_carrier

@@ -40,7 +40,8 @@ def chart_functions(airports: DataFrame, lowess_fn=None) -> dict:
         "flights_by_date": ch.flights_by_date,
         "delay_by_hour": ch.delay_by_hour,
         "delay_by_airline": ch.delay_by_airline,
-        "distance_airtime_pairs": ch.distance_airtime_pairs,
+        # the scatter as weighted distinct points: bounded by distinct pairs, not rows
+        "distance_airtime_points": ch.distance_airtime_points,
         "cancellation_rate": ch.cancellation_rate,
         "most_common_routes": ch.most_common_routes,
         "delay_by_weekday": ch.delay_by_weekday,

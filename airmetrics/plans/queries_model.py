@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
 
 from airmetrics.plans import delay_model as dm
 from airmetrics.plans.catalog import flights, register

@@ -49,7 +49,6 @@ def test_to_number(spark):
 
 def test_parse_iso_date_is_strict(spark):
     import pytest
-    from pyspark.errors import SparkRuntimeException  # noqa: F401
     from airmetrics.functions.clean import parse_iso_date
     ok = spark.createDataFrame([("2018-01-02",)], "v string").select(parse_iso_date("v")).first()[0]
     assert ok == dt.date(2018, 1, 2)

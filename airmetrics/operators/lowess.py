@@ -11,10 +11,9 @@ over 6 x the median absolute residual (0 beyond), and fits again over the same
 neighbourhoods.
 
 Plan, all exact:
-1. rows -> (x, count, sum y) per distinct x (partial aggregation; a hot x value
-   never gathers its rows in one task). The grid is checkpointed: every later
-   step reads it instead of recomputing the input; the later intermediates are
-   at most a few rows per distinct x;
+1. rows -> distinct (x, y) with their count (partial aggregation; a hot x value
+   never gathers its rows in one task), checkpointed: every later step reads
+   this lossless summary instead of the rows; per x: (count, sum y);
 2. ranks from a distributed running sum (``scan.prefix_scan``);
 3. the radius: the k nearest rows form a contiguous run in x order, and an
    optimal run starts at the first row of a value or ends at the last row of a
@@ -58,9 +57,10 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, iterations
     """-> (<x>, n, fitted), one row per distinct non-null x."""
     pts = (df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
            .where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")))
-    if iterations > 0 and not df.is_cached:  # the robustness passes read the points again
-        pts = cut_lineage(pts)
-    grid = cut_lineage(pts.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("sy")))
+    # points reduced to distinct (x, y) with their count: lossless, and every later
+    # step (grid, residuals, median, weights) reads this instead of the rows
+    xy = cut_lineage(pts.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cnt")))
+    grid = xy.groupBy("x").agg(F.sum("cnt").alias("c"), F.sum(F.col("cnt") * F.col("y")).alias("sy"))
     stats = grid.agg(F.sum("c").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
                      F.count(F.lit(1)).alias("g")).first()
     n = stats["n"] or 0
@@ -102,7 +102,9 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, iterations
                                      F.lit(None).cast("double").alias("rval"), "x0")))
     bw = prefix_scan(bw, "key", {"minr": ("min", "rval")}, blocks=blocks, tiebreak=["tag"]) \
         .where(F.col("tag") == 0).select("x0", "minr")
-    radius = fw.join(bw, "x0").select(
+    # sides with one row per distinct x are broadcast when that count is within the bound
+    small = (lambda d: F.broadcast(d)) if stats["g"] <= DEFAULT_BROADCAST_ROWS else (lambda d: d)
+    radius = fw.join(small(bw), "x0").select(
         "x0", "c0", F.least(F.col("x0") - F.col("maxl"), F.col("minr") - F.col("x0")).alias("h"))
 
     # 4. band join through bucket ids. Buckets are quantiles of the distinct x
@@ -124,15 +126,15 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, iterations
     w = F.when(F.col("h") == 0, F.lit(1.0)).otherwise(tri * tri * tri)
     # neighbour pairs with their tricube weight; they depend on x only, so every
     # robustness pass reuses them
-    pairs = near.join(cells, "bkt").where((d < F.col("h")) | (d == 0)).select("x0", "c0", "x", w.alias("w"))
+    pairs = near.join(small(cells), "bkt").where((d < F.col("h")) | (d == 0)).select("x0", "c0", "x", w.alias("w"))
     if iterations > 0:
         pairs = cut_lineage(pairs)
 
-    fitted = _fit(pairs, grid)
+    fitted = _fit(pairs, small(grid))
     for _ in range(iterations):
         fitted = cut_lineage(fitted)
-        grid = _robust_grid(pts, fitted, stats["g"], n)
-        fitted = _fit(pairs, grid)
+        grid = _robust_grid(xy, fitted, stats["g"], n)
+        fitted = _fit(pairs, small(grid))
     out = fitted.select(F.col("x0").alias(x), F.col("c0").alias("n"), "fitted")
     if digits is not None:
         out = out.withColumn("fitted", F.round("fitted", digits))
@@ -157,18 +159,19 @@ def _fit(pairs: DataFrame, grid: DataFrame) -> DataFrame:
     return sums.select("x0", "c0", fit.alias("fitted"))
 
 
-def _robust_grid(pts: DataFrame, fitted: DataFrame, distinct_x: int, n: int) -> DataFrame:
-    """One robustness pass: residuals against the current curve, bisquare
-    weights scaled by 6 x the median absolute residual (exact, distributed), and
-    the per-x weight sums for the next fit."""
+def _robust_grid(xy: DataFrame, fitted: DataFrame, distinct_x: int, n: int) -> DataFrame:
+    """One robustness pass over the distinct (x, y, cnt) points: residuals
+    against the current curve, bisquare weights scaled by 6 x the median absolute
+    residual (exact, distributed, count-weighted), and the per-x weight sums for
+    the next fit."""
     curve = fitted.select(F.col("x0").alias("x"), "fitted")
     # the curve has one row per distinct x: its size is known, no count needed
     curve = F.broadcast(curve) if distinct_x <= DEFAULT_BROADCAST_ROWS else curve
     # a point whose neighbourhood has no weight left has no fit; it counts as
     # fitted by its own value (residual 0), so every point has a residual
-    res = pts.join(curve, "x").select(
-        "x", "y", F.abs(F.col("y") - F.coalesce(F.col("fitted"), F.col("y"))).alias("r"))
-    m = exact_quantiles(res, "r", [0.5], n=n).first()[0]
+    res = xy.join(curve, "x").select(
+        "x", "y", "cnt", F.abs(F.col("y") - F.coalesce(F.col("fitted"), F.col("y"))).alias("r"))
+    m = exact_quantiles(res, "r", [0.5], n=n, weight="cnt").first()[0]
     if m is None:
         delta = F.lit(0.0)
     elif m == 0:
@@ -176,5 +179,5 @@ def _robust_grid(pts: DataFrame, fitted: DataFrame, distinct_x: int, n: int) ->
     else:
         u = F.col("r") / F.lit(6.0 * m)
         delta = F.when(u >= 1, F.lit(0.0)).otherwise((F.lit(1.0) - u * u) * (F.lit(1.0) - u * u))
-    weighted = res.select("x", "y", F.coalesce(delta, F.lit(0.0)).alias("d"))
+    weighted = res.select("x", "y", (F.col("cnt") * F.coalesce(delta, F.lit(0.0))).alias("d"))
     return weighted.groupBy("x").agg(F.sum("d").alias("c"), F.sum(F.col("d") * F.col("y")).alias("sy"))

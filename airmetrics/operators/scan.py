@@ -99,15 +99,19 @@ def prefix_scan(df: DataFrame, key: str, specs: dict[str, tuple[str, str | Colum
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], n: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], n: int | None = None,
+                    weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / percentile_cont).
 
     Values are first reduced to (value, count), then ranks come from a
     distributed running sum; no task sees all values. -> one row, columns q0..qk.
     ``n``: the number of non-null values when the caller knows it (saves a job).
+    ``weight``: an integer column giving how many times each row's value occurs
+    (input already reduced to distinct values with counts).
     """
-    v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    g = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    cnt = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    v = df.select(F.col(col).cast("double").alias("v"), cnt.alias("_w")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    g = v.groupBy("v").agg(F.sum("_w").alias("c"))
     if n is None:
         st = g.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("distinct")).first()
         n, distinct = st["n"] or 0, st["distinct"]

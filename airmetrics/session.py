@@ -84,4 +84,5 @@ def cut_lineage(df):
     lost executor does not force that recomputation either.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    # eager: one job computes the plan and writes the checkpoint files
     return df.checkpoint(eager=True)

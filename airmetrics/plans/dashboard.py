@@ -54,6 +54,11 @@ def chart_functions(airports: DataFrame, lowess_fn=None) -> dict:
     return fns
 
 
+def chart_names(with_lowess: bool = True) -> list[str]:
+    """Names of the dashboard charts (the keys of ``chart_functions``)."""
+    return list(chart_functions(None, (lambda d: d) if with_lowess else None))
+
+
 # --------------------------------------------------------------------------- single-pass summary
 
 SUMMARY_KEYS = ["op_carrier", "origin_airport_id", "dest_airport_id", "fl_date", "hour", "op_carrier_fl_num"]
@@ -245,3 +250,22 @@ def materialize_dashboard(flights: DataFrame, airports: DataFrame, base: str, **
     finally:
         d.release()
     return paths
+
+
+def read_materialized(spark, base: str, names: list[str] | None = None, parallel: int = 8,
+                      **params) -> dict[str, list] | None:
+    """Serve a dashboard request from charts stored by ``materialize_dashboard``
+    (the batch side of the reference's chart cache). None when a chart for these
+    parameters is missing, in which case the caller computes the dashboard."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    key = params_key(**params)
+    names = names or chart_names()
+    paths = {n: f"{base.rstrip('/')}/charts/{n}/params={key}" for n in names}
+    try:
+        frames = {n: spark.read.parquet(p) for n, p in paths.items()}
+    except Exception:  # noqa: BLE001 - a missing folder means "not materialized"
+        return None
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        futures = {n: pool.submit(df.collect) for n, df in frames.items()}
+        return {n: f.result() for n, f in futures.items()}

@@ -70,3 +70,14 @@ def test_read_table_parquet_and_append(spark):
 def test_to_records(spark):
     rec = files.to_records(spark.createDataFrame([(1, "a", None)], "i int, s string, d double")).first()[0]
     assert rec == '{"i":1,"s":"a"}'
+
+
+def test_read_materialized(spark, flights_small):
+    from airmetrics.plans import catalog
+    from airmetrics.plans.dashboard import materialize_dashboard, read_materialized
+    from tests.conftest import SF_SMALL
+    base = scratch_path(spark, f"dash-{uuid.uuid4().hex}")
+    assert read_materialized(spark, base) is None
+    materialize_dashboard(flights_small, catalog.airports(spark, SF_SMALL), base)
+    got = read_materialized(spark, base)
+    assert len(got) == 15 and len(got["delay_by_state"]) == 5

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airmetrics.operators.joins import DEFAULT_BROADCAST_ROWS
-from airmetrics.operators.scan import blocks_for, exact_quantiles, prefix_scan
+from airmetrics.operators.scan import ROWS_PER_BLOCK, blocks_for, exact_quantiles, prefix_scan
 from airmetrics.session import cut_lineage
 
 # The span and the number of robustness passes the reference's
@@ -119,6 +119,10 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, iterations
     near = bucketed(bucketed(near, "_lo", "_blo"), "_hi", "_bhi")
     near = near.select("x0", "c0", "h", F.explode(F.sequence(F.col("_blo").cast("long"),
                                                              F.col("_bhi").cast("long"))).alias("bkt"))
+    # the pairs grow like frac * g^2: spread them over blocks when that exceeds one
+    expected_pairs = int(frac * stats["g"] * stats["g"]) + stats["g"]
+    if expected_pairs > ROWS_PER_BLOCK:
+        near = near.repartition(blocks_for(expected_pairs), "x0")
     cells = bucketed(grid, "x", "_b").select("x", F.col("_b").cast("long").alias("bkt"))
     d = F.abs(F.col("x") - F.col("x0"))
     u = d / F.col("h")

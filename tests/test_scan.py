@@ -95,3 +95,16 @@ def test_lowess_heavy_value(spark):
     exp = brute_lowess(x, y, 0.6666666)
     for k in exp:
         assert abs(got[k] - exp[k]) < 1e-6
+
+
+def test_lowess_spread_pairs(spark, monkeypatch):
+    """Force the branch that spreads the neighbour pairs over several partitions."""
+    import airmetrics.operators.lowess as lw
+    monkeypatch.setattr(lw, "ROWS_PER_BLOCK", 100)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 80, 600).astype(float)
+    y = 1 + 0.2 * x + rng.normal(0, 2, 600)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    got = {r.x: r.fitted for r in lw.lowess(df, "x", "y", iterations=1, digits=None).collect()}
+    exp = brute_lowess(x, y, lw.DEFAULT_FRAC, 1)
+    assert all(abs(got[k] - exp[k]) < 1e-6 for k in exp)

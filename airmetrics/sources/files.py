@@ -28,9 +28,11 @@ def read_flights_csv(spark: SparkSession, path: str, schema: T.StructType | None
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False, mode: str = "overwrite") -> None:
-    """CSV with a header and no index column. ``single`` writes one file
-    (coalesce(1): only for small results such as a query download)."""
-    out = df.coalesce(1) if single else df
+    """CSV with a header and no index column. ``single`` writes one file:
+    the query still runs in parallel and only the last step (one shuffle into one
+    partition, then the write) is a single task, so keep it for small results
+    such as a query download."""
+    out = df.repartition(1) if single else df
     out.write.mode(mode).option("header", True).csv(path)
 
 
@@ -61,54 +63,6 @@ def write_flights(flights: DataFrame, path: str, mode: str = "overwrite") -> Non
       .write.mode(mode).partitionBy("fl_month").parquet(path))
 
 
-def read_flights_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                     extra_columns: list[str] | None = None) -> DataFrame:
-    """Every CSV file under ``path`` (a folder or glob) as one table.
-
-    All columns are read as text with an explicit schema (no inference pass over
-    100 TB); malformed lines are kept with nulls (PERMISSIVE). Conversion is
-    done afterwards by the native cleaning expressions.
-    """
-    if schema is None:
-        schema = T.StructType(RAW_CSV.fields + [T.StructField(c, T.StringType()) for c in (extra_columns or [])])
-    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-            .option("enforceSchema", False).csv(path))
-
-
-def write_csv(df: DataFrame, path: str, single: bool = False, mode: str = "overwrite") -> None:
-    """CSV with a header and no index column. ``single`` writes one file
-    (coalesce(1): only for small results such as a query download)."""
-    out = df.coalesce(1) if single else df
-    out.write.mode(mode).option("header", True).csv(path)
-
-
-def with_month(flights: DataFrame) -> DataFrame:
-    """Partition column for the stored fact table: 'yyyy-MM' of fl_date."""
-    return flights.withColumn("fl_month", F.coalesce(F.date_format("fl_date", "yyyy-MM"), F.lit("unknown")))
-
-
-def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Append cleaned rows to a parquet table (fact: partitioned by month)."""
-    w = df.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
-def write_flights(flights: DataFrame, path: str, mode: str = "overwrite",
-                  partitions: int | None = None) -> None:
-    """Store the fact table partitioned by month.
-
-    Rows are range-partitioned on (fl_month, flight_id): each task writes few
-    month folders, and a month holding a large share of the rows is split over
-    several tasks by flight_id instead of landing in one (as a hash on month would).
-    """
-    m = with_month(flights)
-    n = partitions or int(flights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (m.repartitionByRange(n, "fl_month", "flight_id").sortWithinPartitions("fl_month", "flight_id")
-      .write.mode(mode).partitionBy("fl_month").parquet(path))
-
-
 def read_flights(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -46,12 +46,6 @@ DEFAULT_FRAC = 0.6666666
 DEFAULT_ITERATIONS = 3
 
 
-def _bucket_splits(grid: DataFrame, buckets: int) -> list[float]:
-    """Bucket edges at quantiles of the distinct x values (driver gets <= buckets values)."""
-    qs = grid.approxQuantile("x", [i / buckets for i in range(1, buckets)], 0.001) if buckets > 1 else []
-    return [float("-inf")] + sorted(set(qs)) + [float("inf")]
-
-
 def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, iterations: int = DEFAULT_ITERATIONS,
            buckets: int = 64, blocks: int | None = None, digits: int | None = 6) -> DataFrame:
     """-> (<x>, n, fitted), one row per distinct non-null x."""
@@ -61,8 +55,11 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, iterations
     # step (grid, residuals, median, weights) reads this instead of the rows
     xy = cut_lineage(pts.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cnt")))
     grid = xy.groupBy("x").agg(F.sum("cnt").alias("c"), F.sum(F.col("cnt") * F.col("y")).alias("sy"))
+    probs = [i / buckets for i in range(1, buckets)]
     stats = grid.agg(F.sum("c").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-                     F.count(F.lit(1)).alias("g")).first()
+                     F.count(F.lit(1)).alias("g"),
+                     # bucket edges for step 4, in the same pass (<= buckets values)
+                     F.percentile_approx("x", probs or [0.5], 1000).alias("q")).first()
     n = stats["n"] or 0
     if n == 0:
         return grid.select(F.col("x").alias(x), F.col("c").alias("n"), F.lit(None).cast("double").alias("fitted")).limit(0)
@@ -110,7 +107,7 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, iterations
     # 4. band join through bucket ids. Buckets are quantiles of the distinct x
     # values, so each holds about the same number of candidates even when x is
     # concentrated in a narrow range.
-    splits = _bucket_splits(grid, buckets)
+    splits = [float("-inf")] + sorted(set(stats["q"] if probs else [])) + [float("inf")]
 
     def bucketed(df, src, out):
         return Bucketizer(splits=splits, inputCol=src, outputCol=out, handleInvalid="keep").transform(df)

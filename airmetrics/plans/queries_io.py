@@ -189,3 +189,18 @@ def q_materialized_chart(spark, sf_dir):
     base = _fresh(spark, "dashboard")
     paths = dash.materialize_dashboard(flights(spark, sf_dir), airports(spark, sf_dir), base)
     return spark.read.parquet(paths["flight_counts"])
+
+
+@register("dashboard_filtered_counts", with_base("""
+SELECT op_carrier, flights, flights / sum(flights) OVER () AS share FROM (
+  SELECT op_carrier, count(*) AS flights FROM flights, win
+  WHERE op_carrier IS NOT NULL AND fl_date BETWEEN CAST(win.s AS DATE) AND win.e
+    AND op_carrier IN ('Brand#1', 'Brand#2', 'Brand#3') AND (origin_airport_id = 10003 OR dest_airport_id = 10003)
+  GROUP BY op_carrier ORDER BY flights DESC, op_carrier LIMIT 10) t""",
+    "win AS (SELECT max(fl_date) - INTERVAL 365 DAY AS s, max(fl_date) AS e FROM flights)"))
+def q_dashboard_filtered_counts(spark, sf_dir):
+    """The dashboard request end to end (window, carrier and airport filters,
+    single-pass summary); the carrier chart of the result."""
+    d = dash.dashboard(flights(spark, sf_dir), airports(spark, sf_dir), airlines=["Brand#1", "Brand#2", "Brand#3"],
+                       airport="10003", cache=False, with_lowess=False)
+    return d.builders["flight_counts"]()

@@ -95,3 +95,22 @@ def test_single_pass_summary_equals_per_chart(spark, flights_small):
         assert df.columns == per_chart[name](flights_small).columns, name
         assert rows(df) == rows(per_chart[name](flights_small)), name
     assert rows(dash.facets_from_summary(summary)) == rows(flt.facets(flights_small))
+
+
+def test_dashboard_concurrent_collect_equals_sequential(spark, flights_small):
+    from airmetrics.plans import dashboard as dash
+    airports = catalog.airports(spark, SF_SMALL)
+    d = dash.dashboard(flights_small, airports, with_lowess=False)
+    par = d.collect(parallel=8)
+    seq = {name: build().collect() for name, build in d.builders.items()}
+    for name, rows in seq.items():
+        assert sorted(map(tuple, rows)) == sorted(map(tuple, par[name])), name
+    assert sorted(map(tuple, par["facets"])) == sorted(map(tuple, d.facets.collect()))
+    d.release()
+
+
+def test_dashboard_no_data(spark, flights_small):
+    from airmetrics.plans import dashboard as dash
+    d = dash.dashboard(flights_small, catalog.airports(spark, SF_SMALL), plane="no-such-flight")
+    assert d.no_data and d.builders == {} and d.facets.count() > 0
+    d.release()

@@ -223,7 +223,9 @@ def dashboard(flights: DataFrame, airports: DataFrame, start=None, end=None, rou
     fns = chart_functions(airports, lowess_fn)
     if not single_pass:
         return Dashboard(win, False, frame, {name: bind(fn) for name, fn in fns.items()}, flt.facets(frame))
-    summary = chart_summary(frame).persist(StorageLevel.MEMORY_AND_DISK)
+    summary = chart_summary(frame)
+    if cache:  # many small charts read it; without cache each recomputes it
+        summary = summary.persist(StorageLevel.MEMORY_AND_DISK)
     keyed = charts_from_summary(summary, airports)
     builders = {name: ((lambda df=keyed[name]: df) if name in keyed else bind(fn)) for name, fn in fns.items()}
     return Dashboard(win, False, frame, builders, facets_from_summary(summary), summary)

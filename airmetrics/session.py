@@ -30,7 +30,7 @@ BASE_CONF = {
 
 
 RUNTIME_CONF = {k: BASE_CONF[k] for k in ["spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
-                                          "spark.sql.adaptive.skewJoin.enabled",
+                                          "spark.sql.adaptive.skewJoin.enabled", "spark.sql.ansi.enabled",
                                           "spark.sql.codegen.hugeMethodLimit"]}
 
 
@@ -57,17 +57,24 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder for checkpoints and written intermediates.
 
-    On a cluster this is set by the deployment (a shared file system path) and is
-    only read here. Only when it is unset (local tests) a fresh folder is made.
+    A folder given to the context (``setCheckpointDir``, or ``spark.checkpoint.dir`` read
+    at start) is used as it is. Else the session's setting is applied. Neither the setting
+    nor a given folder is ever changed. Only a local master may go without: it gets a fresh
+    temporary folder, as in tests; on a cluster a missing folder is an error.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    given = sc.getCheckpointDir()
+    if given:
+        return given
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="airmetrics-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    sc.setCheckpointDir(current)
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

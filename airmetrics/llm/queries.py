@@ -40,3 +40,35 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_path(spark, 'llm')}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path, _tokenizer())
     return read_tokens(spark, path)
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from airmetrics.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        F.col("row.doc_id").alias("doc_id"), toxicity.held_out(F.col("row.doc_id")).alias("held_out"),
+        "score", "predicted", "n_sentences", F.size("offending").cast("long").alias("n_offending"))
+
+
+@query
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airmetrics.llm.decontaminate import contamination, digest
+
+    return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from airmetrics.llm.warc import page_rows, read_warc, write_warc
+    from airmetrics.session import scratch_path
+
+    path = f"{scratch_path(spark, 'llm')}/warc-{uuid.uuid4().hex}"
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return page_rows(read_warc(spark, path, with_payload=False))

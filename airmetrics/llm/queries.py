@@ -72,3 +72,17 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_path(spark, 'llm')}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), path)
     return page_rows(read_warc(spark, path, with_payload=False))
+
+
+@query
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airmetrics.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airmetrics.llm.jaccard import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_links", "class_id", "kept")

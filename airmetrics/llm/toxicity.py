@@ -169,7 +169,7 @@ def _gradient(weights: np.ndarray, bias: float, weight_of: tuple[float, float]):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, n_features: int = 2048, least_docs: int = 4,
-          least_chi: float = 20.0, steps: int = 40, rate: float = 0.3, l2: float = 0.1, id_col: str = "doc_id", text_col: str = "text",
+          least_chi: float = 12.0, steps: int = 40, rate: float = 0.3, l2: float = 0.3, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> Model:
     """Fit the sentence model from the document labels that are not held out."""
     known = (labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("toxic"))
@@ -241,7 +241,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, offending: floa
                 group = np.cumsum(new) - 1
                 z = np.clip(m.bias + np.bincount(group, m.weights[which]), -30, 30) if len(row) else np.zeros(0)
                 own = row[new]
-                scores.append(-np.expm1(np.bincount(own, -np.logaddexp(0, z), j - i)))
+                scores.append(np.abs(np.expm1(np.bincount(own, -np.logaddexp(0, z), j - i))))
                 stops = np.flatnonzero(_ENDS[part])
                 sentences.append(np.searchsorted(stops, rel[1:]) - np.searchsorted(stops, rel[:-1]) + (np.diff(rel) > 0))
                 found: list[list] = [[] for _ in range(j - i)]

@@ -86,3 +86,17 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from airmetrics.llm.jaccard import jaccard_join
 
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_links", "class_id", "kept")
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airmetrics.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airmetrics.llm.suffix_merge import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))

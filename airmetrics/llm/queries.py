@@ -100,3 +100,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from airmetrics.llm.suffix_merge import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airmetrics.llm.secrets_scan import scan
+
+    return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -305,7 +305,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, t: int = 1
                     .select("set_id", "w", "rep", F.col("root").alias("grp")), "candidate-groups")
     sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     reps = groups.join(sizes, "grp").select("grp", "parts", F.col("set_id").alias("set"), "w",
-                                            F.col("rep.id").alias("rep_id"), F.col("rep.h").alias("rep_h"))
+                                            F.col("rep.id").alias("rep_id"), F.col("rep.h").alias("rep_h")).hint("shuffle_hash")
     first = (src.join(reps, src["id"].eqNullSafe(reps["rep_id"]) & (src["h"] == reps["rep_h"]))
              .select("grp", "parts", F.col("set").alias("id"), "w", "text").dropDuplicates(["id"]))
     own = first.withColumn("part", F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")).cast("int")).withColumn("visitor", F.lit(0))

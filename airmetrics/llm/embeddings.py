@@ -17,8 +17,8 @@ their cosine in double precision.
   link is met once from either side and link counts need no pair list. ``depth`` grows with the
   logarithm of the number of vectors. Owners of a cell are dealt to blocks of at most
   about ``block_rows`` (a hot cell has more blocks), and visitors pass a block in sorted runs.
-* In a block owners are sorted by one projection; a run of visitors meets only the owners
-  inside its windows, the other projections are counted, a first few of them early.
+* In a block the collisions of a few projections are counted first, the rest only for pairs that
+  can still reach the count.
 
 What leaves a block is one row per owner (its number of links) and merge edges, never pairs.
 Components come from ``common.components``.
@@ -64,6 +64,15 @@ def _units(raw: list[bytes]) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
+_GRID = 0.04
+
+
+def _coarse(proj: np.ndarray) -> np.ndarray:
+    """Projections on a byte grid, one row per projection. Collisions are counted on the grid with a window that is
+    wider by a cell, so none is lost; beyond the grid's ends values are held at them."""
+    return np.ascontiguousarray(np.clip(np.round(proj / _GRID) + 128, 0, 255).astype(np.uint8).T)
+
+
 class _Block:
     """Owners of one block; visitors stream by."""
 
@@ -74,6 +83,7 @@ class _Block:
         order = np.argsort(proj[:, 0], kind="stable")
         self.ids, self.weights, self.codes = ids[order], weights[order], reps[order]
         self.u, self.proj = u[order], proj[order].astype(np.float32)
+        self.coarse, self.reach = _coarse(self.proj), int(np.ceil(window / _GRID)) + 1
         self.links = np.zeros(len(ids), np.int64)
         self.merger = Merger(self.ids)
         p = erf(window / sqrt(2 * (2 - 2 * threshold))) if threshold < 1 else 1.0
@@ -91,17 +101,15 @@ class _Block:
 
     def _run(self, ids, codes, weights, u, proj) -> None:
         # all owners are counted; the sorted first projection tells which can collide on it
-        rows, cols = self._pass(proj, np.arange(len(self.ids)), np.arange(len(ids)), 0, self.early, self.need_early)
+        coarse = _coarse(proj)
+        rows, cols = self._pass(proj, coarse)
         if not len(rows):
             return
         o, v = np.unique(rows), np.unique(cols)
         dense = np.zeros((len(o), len(v)), bool)
         dense[np.searchsorted(o, rows), np.searchsorted(v, cols)] = True
         if dense.mean() > 0.05:
-            count = np.zeros(dense.shape, np.int16)
-            for j in range(proj.shape[1]):
-                count += np.abs(self.proj[o, j][:, None] - proj[v, j][None, :]) <= self.window
-            dense &= count >= self.need
+            dense &= self._count(self.coarse[:, o], coarse[:, v], range(proj.shape[1])) >= self.need
             r, c = np.nonzero(dense) if dense.any() else (np.zeros(0, np.int64),) * 2
             if not len(r):
                 return
@@ -127,23 +135,31 @@ class _Block:
         out[o] = link
         return out
 
-    def _pass(self, proj, owners, visitors, begin: int, end: int, need: int):
-        count = np.zeros((len(owners), len(visitors)), np.int8)
-        # first projection: owners are sorted by it, so each visitor's window is a range of rows
-        low = np.searchsorted(self.proj[:, 0], proj[:, 0] - self.window, side="left")
-        high = np.searchsorted(self.proj[:, 0], proj[:, 0] + self.window, side="right")
-        step = np.zeros((len(owners) + 1, len(visitors)), np.int8)
-        np.add.at(step, (low, visitors), 1)
-        np.add.at(step, (high, visitors), -1)
-        np.cumsum(step[:-1], axis=0, out=count)
-        for j in range(begin + 1, end):
-            count += np.abs(self.proj[:, j][:, None] - proj[:, j][None, :]) <= self.window
-        return np.nonzero(count >= need)
+    def _count(self, mine: np.ndarray, theirs: np.ndarray, which: range) -> np.ndarray:
+        """Window collisions of every pair over some projections (byte arithmetic, wrapping)."""
+        count = np.zeros((mine.shape[1], theirs.shape[1]), np.uint8)
+        reach, gap = np.uint8(self.reach), np.uint8(2 * self.reach)
+        space, hit = np.empty(count.shape, np.uint8), np.empty(count.shape, bool)
+        for j in which:
+            np.subtract((mine[j] + reach)[:, None], theirs[j][None, :], out=space)
+            np.less_equal(space, gap, out=hit)
+            count += hit.view(np.uint8)
+        return count
+
+    def _pass(self, proj, coarse):
+        """Pairs that reach the early count. Owners and visitors are sorted by the first projection, and the whole
+        run can only collide there with the owners inside its outermost windows."""
+        low = np.searchsorted(self.proj[:, 0], proj[0, 0] - self.window, side="left")
+        high = np.searchsorted(self.proj[:, 0], proj[-1, 0] + self.window, side="right")
+        if self.need_early < self.early or low >= high:  # a pair may miss the first window and still reach the count
+            low, high = 0, len(self.ids)
+        rows, cols = np.nonzero(self._count(self.coarse[:, low:high], coarse, range(self.early)) >= self.need_early)
+        return rows + low, cols
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, projections: int = 48, early: int = 16,
-                    window: float = 0.7, cell_window: float = 0.9, recall: float = 0.995, block_rows: int = 2048,
-                    cell_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+                    window: float = 0.7, cell_window: float = 0.8, recall: float = 0.995, block_rows: int = 2048,
+                    cell_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     src = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
 
@@ -185,6 +201,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, projections: int
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _with_bit(bit: int):
+    return lambda x: x.bitwiseOR(F.lit(bit))
+
+
 def _links(groups: DataFrame, n: int, depth: int, threshold, m, early, window, cell_window, recall, block_rows) -> DataFrame:
     """Rows (a, n, b): links of group ``a`` to other groups' members when b is null, else a merge edge a-b."""
     spark = groups.sparkSession
@@ -213,7 +233,7 @@ def _links(groups: DataFrame, n: int, depth: int, threshold, m, early, window, c
     masks = F.array(F.lit(0).cast("long"))
     for i in range(depth):  # all subsets of the near bits
         has = F.col("near").bitwiseAND(1 << i) != 0
-        masks = F.when(has, F.concat(masks, F.transform(masks, lambda x, b=1 << i: x.bitwiseOR(F.lit(b))))).otherwise(masks)
+        masks = F.when(has, F.concat(masks, F.transform(masks, _with_bit(1 << i)))).otherwise(masks)
     owners = coded.groupBy("size", "code").agg(F.count("*").alias("n"))
     blocks = owners.select("size", F.col("code").alias("cell"), F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
     own = (coded.withColumn("cell", F.col("code")).join(blocks, ["size", "cell"])

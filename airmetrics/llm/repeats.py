@@ -50,10 +50,10 @@ class Units:
     slice_bytes: int = 1 << 20
 
 
-class _Digests:
+class Digests:
     """Hashes of any run of units, from prefix sums of a polynomial."""
 
-    def __init__(self, h: np.ndarray, base: int):
+    def __init__(self, h: np.ndarray, base: int = _BASE):
         power = np.full(len(h) + 1, base, np.uint64)
         power[:1] = 1
         back = np.full(len(h) + 1, pow(base, -1, 1 << 64), np.uint64)
@@ -87,7 +87,7 @@ def _contexts_of(h: np.ndarray, row_first: np.ndarray, u: Units):
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(window)))
     start, anchor = window[at], place[at]
-    digest = _Digests(h, _BASE).of(start, start + size + u.length - 1)
+    digest = Digests(h, _BASE).of(start, start + size + u.length - 1)
     digest = mix(digest + (anchor - start).astype(np.uint64) * np.uint64(_BASE2) + size.astype(np.uint64))
     return row[start], start, size, grams[anchor], digest
 
@@ -114,7 +114,6 @@ def contexts(src: DataFrame, u: Units) -> DataFrame:
 
 
 _ENTRY = "hot boolean, anchor long, ctx long, i int, shard long, key long, w long, n int, text binary"
-_WANT = "array<struct<anchor:long,ctx:long,a:long,n:int,w:long,hot:boolean>>"
 
 
 def _cut_out(u: Units):
@@ -143,7 +142,7 @@ def _cut_out(u: Units):
                 k = np.arange(len(src)) - np.repeat(np.cumsum(times) - times, times)
                 start, size = a[src] + k, np.where(hot, 1, n)[src]
                 stop = start + size + u.length - 1
-                one, two = _Digests(h, _BASE).of(start, stop), _Digests(h, _BASE2).of(start, stop)
+                one, two = Digests(h, _BASE).of(start, stop), Digests(h, _BASE2).of(start, stop)
                 anchor, ctx, is_hot = f["anchor"][sel][src], f["ctx"][sel][src], hot[src]
                 raw = part.tobytes()
                 text = [raw[x:y] for x, y in zip(begin[start].tolist(), end[stop - 1].tolist(), strict=True)]

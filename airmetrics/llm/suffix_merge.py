@@ -6,8 +6,9 @@ else (same document included) is removed, judged on the input; matches never cro
 transform and common prefixes are built column by column, from the right: every round
 prepends one symbol to the suffix of every document that has one left.
 
-* Symbols are eight bytes. A context of the shard gives eight documents, one for each phase, so
-  every byte position starts a suffix, and a window is ``length / 8`` symbols.
+* Symbols are runs of ``STEP`` bytes, numbered by the order of their 64-bit digests (any fixed order
+  of symbols serves to bring equal strings together). A context of the shard gives ``STEP`` documents, one for
+  each phase, so every byte position starts a suffix, and a window is ``length / STEP`` symbols.
 * A round reads the last generation's files front to back (suffix order; common prefix of
   neighbours, capped at the window), finds the place of each new suffix ``cX``
   by its first symbol and the place of ``X``, and writes the merged generation to new files.
@@ -32,10 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from airmetrics.llm.repeats import Units, covered, repeated_ranges, with_spans
+from airmetrics.llm.repeats import Digests, Units, covered, repeated_ranges, with_spans
 from airmetrics.llm.segments import _BYTE, text_bytes
 
-STEP = 8
+STEP = 40
 
 
 def _cut_bytes(data, offsets):
@@ -48,20 +49,19 @@ class Columns:
 
     def __init__(self, texts: list[bytes]):
         sizes = np.array([len(t) for t in texts])
+        m = len(texts)
         self.lengths = np.concatenate([(sizes - f) // STEP for f in range(STEP)]).clip(0)
         self.rounds = int(self.lengths.max(initial=0))
         self.documents = len(self.lengths)
-        raw = np.zeros((self.documents, max(1, self.rounds)), "<u8")
-        m = len(texts)
-        for i, t in enumerate(texts):
-            for f in range(STEP):
-                n = self.lengths[f * m + i]
-                if n:
-                    raw[f * m + i, self.rounds - n:] = np.frombuffer(t, "<u8", n, f)
-        used = np.arange(self.rounds)[None, :] >= (self.rounds - self.lengths)[:, None]
-        self.symbols = np.zeros(raw.shape, np.int32)
-        _, back = np.unique(raw[used], return_inverse=True)
-        self.symbols[used] = back + 1
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        begin = np.cumsum(sizes) - sizes
+        at = np.arange(max(0, len(data) - STEP + 1))
+        _, number = np.unique(Digests(_BYTE[data]).of(at, at + STEP), return_inverse=True)
+        self.symbols = np.zeros((self.documents, max(1, self.rounds)), np.int32)
+        for back in range(self.rounds):  # the symbol that ends ``back`` symbols before its document's end
+            docs = np.flatnonzero(self.lengths > back)
+            start = begin[docs % m] + docs // m + STEP * (self.lengths[docs] - 1 - back)
+            self.symbols[docs, self.rounds - 1 - back] = number[start] + 1
 
 
 def common(columns: Columns, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:

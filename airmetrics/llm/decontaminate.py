@@ -125,7 +125,7 @@ class _Matcher:
             first = np.searchsorted(prefix, members.values)
             self.tables[k] = (members, first, np.append(first[1:], len(prefix)),
                               np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
-        self.sizes = np.array([len(w) for w in self.words])
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
 
     def hits(self, h: np.ndarray, row: np.ndarray, row_first: np.ndarray, row_end: np.ndarray):
         """(window number, first word) of every occurrence."""

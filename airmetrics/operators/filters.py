@@ -92,8 +92,8 @@ def filter_airport(df: DataFrame, airport) -> DataFrame:
 
 @dataclass(frozen=True)
 class Window:
-    start: dt.date
-    end: dt.date
+    start: dt.date | None
+    end: dt.date | None
     warning: str | None
 
 
@@ -113,7 +113,7 @@ def resolve_window(start, end, lo, hi, default_days: int = 365) -> Window:
         warning = f"end date clamped to the last available day: {hi_d.isoformat()}"
     if s is not None and e is not None and s > e:
         s, e = e, s
-    if s is None:
+    if s is None and hi_d is not None:  # an empty table has no last date: the window stays open (no_data)
         s = hi_d - dt.timedelta(days=default_days)
     if e is None:
         e = hi_d

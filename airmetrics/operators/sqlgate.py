@@ -40,6 +40,22 @@ def check_read_only(sql: str, admin: bool = False) -> str:
     return text
 
 
+_WRITES = re.compile(r"'?(?:InsertInto|CreateTable|ReplaceTable|CreateView|DropTable|Merge|Delete|Update|Cache|SetCommand|AddJar)\w*")
+_CALLS = re.compile(r"'?`?\b(?:reflect|java_method|try_reflect)\b`?\s*\(", re.IGNORECASE)
+
+
+def check_plan(spark: SparkSession, text: str) -> None:
+    """Q2 on the parsed plan: no node that writes or commands, no reflection call, however the text
+    spells them (comments and back quotes are gone after parsing)."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    for line in plan.treeString().splitlines():
+        node = line.lstrip(" :+-")
+        if _WRITES.match(node):
+            raise SqlRefused("only SELECT queries are allowed")
+        if _CALLS.search(line):
+            raise SqlRefused("reflection functions are not allowed")
+
+
 def register_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
@@ -53,6 +69,7 @@ def run_select(spark: SparkSession, tables: dict[str, DataFrame], sql: str, admi
         return spark.sql(text)
     # ``spark.sql`` resolves the text right away, so direct file reads only need
     # to be off while it does; the caller's setting is restored afterwards.
+    check_plan(spark, text)
     previous = spark.conf.get("spark.sql.runSQLOnFiles", "true")
     spark.conf.set("spark.sql.runSQLOnFiles", "false")
     try:

@@ -52,7 +52,7 @@ def split(df: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     return df.where(~flag), df.where(flag)
 
 
-def _pipeline(max_iter: int, max_depth: int, step: float, seed: int) -> Pipeline:
+def _encoders() -> Pipeline:
     idx = [f"{c}_idx" for c in CATEGORICAL]
     enc = [f"{c}_te" for c in CATEGORICAL]
     stages = [
@@ -65,21 +65,24 @@ def _pipeline(max_iter: int, max_depth: int, step: float, seed: int) -> Pipeline
         # trees treat the encoded values as continuous.
         SQLTransformer(statement="SELECT *, " + ", ".join(f"{c} + 0D AS {c}_num" for c in enc) + " FROM __THIS__"),
         VectorAssembler(inputCols=[f"{c}_num" for c in enc] + NUMERIC, outputCol="features", handleInvalid="keep"),
-        GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth,
-                     stepSize=step, seed=seed, lossType="absolute", validationIndicatorCol="is_validation",
-                     validationTol=0.0),
     ]
     return Pipeline(stages=stages)
 
 
 def fit_delay_model(train: DataFrame, validation: DataFrame | None = None, max_iter: int = 50,
                     max_depth: int = 6, step: float = 0.1, seed: int = 42) -> PipelineModel:
-    """M3+M4: encode and fit. With ``validation`` rows, boosting stops when the
-    validation error stops improving (the reference early-stops on its eval set)."""
+    """M3+M4: encode and fit. The encoders see ``train`` only, so no label of another row
+    enters an encoding. With ``validation`` rows, boosting stops when their error stops
+    improving (the reference early-stops on its eval set); pass a hash split of the train
+    rows, never the rows that the metrics are taken from."""
+    encoders = _encoders().fit(train)
     data = train.withColumn("is_validation", F.lit(False))
     if validation is not None:
         data = data.unionByName(validation.withColumn("is_validation", F.lit(True)))
-    return _pipeline(max_iter, max_depth, step, seed).fit(data)
+    trees = GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth,
+                         stepSize=step, seed=seed, lossType="absolute", validationIndicatorCol="is_validation",
+                         validationTol=0.0)
+    return PipelineModel(stages=[*encoders.stages, trees.fit(encoders.transform(data))])
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -68,14 +68,16 @@ def q_residual_histogram(spark, sf_dir):
 @register("delay_model_metrics", None)
 def q_delay_model_metrics(spark, sf_dir):
     train, test = _frames(spark, sf_dir)
-    model = dm.fit_delay_model(train, validation=test)
+    fit_rows, stop_rows = dm.split(train, seed=7)
+    model = dm.fit_delay_model(fit_rows, validation=stop_rows)
     return dm.regression_metrics(dm.score(model, test))
 
 
 @register("delay_model_scores", None)
 def q_delay_model_scores(spark, sf_dir):
     train, test = _frames(spark, sf_dir)
-    model = dm.fit_delay_model(train, validation=test, max_iter=20)
+    fit_rows, stop_rows = dm.split(train, seed=7)
+    model = dm.fit_delay_model(fit_rows, validation=stop_rows, max_iter=20)
     path = scratch_path(spark, f"delay-model-{uuid.uuid4().hex}")
     dm.save(model, path)
     return dm.score(dm.load(path), test)

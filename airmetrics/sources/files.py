@@ -68,5 +68,6 @@ def read_flights(spark: SparkSession, path: str) -> DataFrame:
 
 
 def to_records(df: DataFrame) -> DataFrame:
-    """Rows as JSON objects (one string column ``record``)."""
-    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("record"))
+    """Rows as JSON objects (one string column ``record``); null columns keep their key."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]),
+                               {"ignoreNullFields": "false"}).alias("record"))

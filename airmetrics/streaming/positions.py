@@ -79,7 +79,8 @@ def states_to_messages(states: DataFrame, flight_list: DataFrame | None = None,
 def to_kafka_records(messages: DataFrame) -> DataFrame:
     """Keyed JSON records (key = icao24) for a Kafka sink."""
     return messages.select(F.col("icao24").alias("key"),
-                           F.to_json(F.struct(*[F.col(c) for c in schemas.MESSAGE.fieldNames()])).alias("value"))
+                           F.to_json(F.struct(*[F.col(c) for c in schemas.MESSAGE.fieldNames()]),
+                                     {"ignoreNullFields": "false"}).alias("value"))
 
 
 def parse_messages(records: DataFrame, value_col: str = "value") -> DataFrame:
@@ -160,11 +161,12 @@ def latest_positions(flat: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------------- stream jobs
 
 def kafka_source_options(bootstrap: str, topic: str, max_offsets: int = 100,
-                         starting: str = "latest") -> dict[str, str]:
-    """Options of the Kafka source (start at latest, ~100 records per batch)."""
+                         starting: str = "latest", fail_on_data_loss: bool = True) -> dict[str, str]:
+    """Options of the Kafka source (start at latest, ~100 records per batch). Lost offsets
+    end the query unless ``fail_on_data_loss`` is turned off."""
     return {"kafka.bootstrap.servers": bootstrap, "subscribe": topic,
             "startingOffsets": starting, "maxOffsetsPerTrigger": str(max_offsets),
-            "failOnDataLoss": "false"}
+            "failOnDataLoss": str(fail_on_data_loss).lower()}
 
 
 def kafka_sink_options(bootstrap: str, topic: str) -> dict[str, str]:

@@ -69,7 +69,7 @@ def test_read_table_parquet_and_append(spark):
 
 def test_to_records(spark):
     rec = files.to_records(spark.createDataFrame([(1, "a", None)], "i int, s string, d double")).first()[0]
-    assert rec == '{"i":1,"s":"a"}'
+    assert rec == '{"i":1,"s":"a","d":null}'  # a null column keeps its key
 
 
 def test_read_materialized(spark, flights_small):

@@ -50,7 +50,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"), path.alias("path"))
     # cheap test first: most texts hold no token-like string with a digit
     src = src.where(F.col("text").rlike(TOKEN))
-    pieces = F.split("text", rf"(?<![A-Za-z0-9+/_=\-])(?={TOKEN})")
+    pieces = F.split("text", rf"(?<![A-Za-z0-9+/_\-])(?={TOKEN})")
     part = src.select("id", "path", F.posexplode(F.arrays_zip(
         pieces.alias("piece"), F.concat(F.array(F.lit("")), F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))).alias("left"))))
     found = part.where("pos > 0").select(

@@ -19,20 +19,28 @@ _ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
 _COMPACT = r"^\d{8}$"
 _SLASH = r"^\d{1,2}/\d{1,2}/\d{4}$"
 _DASH = r"^\d{1,2}-\d{1,2}-\d{4}$"
-_ISO_TIME = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d"
+_ISO_TIME = (r"^\d{4}-\d{2}-\d{2}[ T]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d([.]\d+)?)?"
+             r" ?(Z|[+-]\d{2}:?\d{2})?$")
 _SLASH_TIME = r"^\d{1,2}/\d{1,2}/\d{4} \d"
-DATE_LAYOUTS = [  # (shape, pattern, has time)
-    (_ISO, "yyyy-MM-dd", False),
-    (_COMPACT, "yyyyMMdd", False),
-    (_SLASH, "M/d/yyyy", False),
-    (_DASH, "M-d-yyyy", False),
-    (_ISO_TIME, "yyyy-MM-dd HH:mm:ss", True),
-    (_ISO_TIME, "yyyy-MM-dd'T'HH:mm:ss", True),
-    (_SLASH_TIME, "M/d/yyyy h:mm:ss a", True),
-    (_SLASH_TIME, "M/d/yyyy H:mm:ss", True),
-    (_SLASH_TIME, "M/d/yyyy H:mm", True),
-    (_DASH, "d-M-yyyy", False),
+_ISO_SLASH = r"^\d{4}/\d{1,2}/\d{1,2}$"
+_SHORT_YEAR = r"^\d{1,2}/\d{1,2}/\d{2}$"
+_MONTH_NAME = r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$"
+DATE_LAYOUTS = [  # (shape, pattern, what is parsed: the whole date, a date and time, the first ten characters)
+    (_ISO, "yyyy-MM-dd", "date"),
+    (_COMPACT, "yyyyMMdd", "date"),
+    (_SLASH, "M/d/yyyy", "date"),
+    (_DASH, "M-d-yyyy", "date"),
+    (_ISO_TIME, "yyyy-MM-dd", "head"),
+    (_SLASH_TIME, "M/d/yyyy h:mm:ss a", "time"),
+    (_SLASH_TIME, "M/d/yyyy H:mm:ss", "time"),
+    (_SLASH_TIME, "M/d/yyyy H:mm", "time"),
+    (_ISO_SLASH, "yyyy/M/d", "date"),
+    (_SHORT_YEAR, "M/d/yy", "short"),
+    (_MONTH_NAME, "MMM d, yyyy", "date"),
+    (_DASH, "d-M-yyyy", "date"),
+    (_SLASH, "d/M/yyyy", "date"),
 ]
+LAST_SHORT_YEAR = 2068  # two-digit years: 00-68 are 2000-2068, 69-99 are 1969-1999
 
 SECONDS_PER_DAY = 86400
 LAST_SECOND = SECONDS_PER_DAY - 1  # "2400" is stored as 23:59:59
@@ -110,8 +118,13 @@ def parse_date_text(s: Column | str) -> Column:
     """C5 step 2: trimmed text -> date, trying ``DATE_LAYOUTS`` in order."""
     s = _c(s)
     candidates = []
-    for shape, fmt, has_time in DATE_LAYOUTS:
-        parsed = F.to_date(F.try_to_timestamp(s, F.lit(fmt))) if has_time else F.try_to_date(s, fmt)
+    for shape, fmt, part in DATE_LAYOUTS:
+        if part == "time":
+            parsed = F.to_date(F.try_to_timestamp(s, F.lit(fmt)))
+        else:
+            parsed = F.try_to_date(F.substring(s, 1, 10) if part == "head" else s, fmt)
+        if part == "short":
+            parsed = F.when(F.year(parsed) > LAST_SHORT_YEAR, F.add_months(parsed, -1200)).otherwise(parsed)
         candidates.append(F.when(s.rlike(shape), parsed))
     return F.coalesce(*candidates)
 
@@ -119,8 +132,9 @@ def parse_date_text(s: Column | str) -> Column:
 def parse_fl_date(col: Column | str) -> Column:
     """Many date layouts -> date; unparseable -> null; time part dropped.
 
-    Order: ISO, compact ISO, month-first with '/' and '-', date-time layouts,
-    then day-first with '-' (so 03-04-2018 is 4 March, 13-04-2018 is 13 April).
+    Order: ISO, compact ISO, month-first with '/' and '-', date-time layouts (ISO ones with
+    optional seconds, fraction and zone), year-first with '/', two-digit years, month names,
+    then day-first with '-' and '/' (so 03-04-2018 is 4 March, 13-04-2018 is 13 April).
     """
     return parse_date_text(date_text(col))
 

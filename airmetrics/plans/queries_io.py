@@ -5,16 +5,16 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from airmetrics.operators import charts as ch
 from airmetrics.operators import modelling as mdl
+from airmetrics.operators.joins import flights_with_airports
 from airmetrics.operators.lowess import lowess
 from airmetrics.plans import dashboard as dash
 from airmetrics.plans.catalog import airports, flights, register
 from airmetrics.plans.oracle_sql import with_base
-from airmetrics.schemas import FLIGHT_COLUMNS
-from airmetrics.session import scratch_path
+from airmetrics.schemas import FLIGHT_COLUMNS, SOURCE_TO_CANONICAL
+from airmetrics.session import cut_lineage, scratch_path
 from airmetrics.sources import files
 from airmetrics.sources import fixtures as fx
 from airmetrics.sources import tables as tbl
@@ -81,12 +81,13 @@ def q_distance_airtime_lowess_plain(spark, sf_dir):
 
 @register("csv_round_trip", with_base(f"SELECT {_ALL} FROM flights"))
 def q_csv_round_trip(spark, sf_dir):
-    """S2 then S1: raw records to CSV, read back as text, cleaned (C11)."""
+    """S2 then S1: raw records to CSV under the source's names, in foreign order and with
+    columns that are not kept; read back by name as text, cleaned (C11)."""
     raw = fx.flights_raw(spark, sf_dir)
     path = _fresh(spark, "raw-csv")
-    files.write_csv(raw, path)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in raw.columns])
-    return mdl.build_flights(files.read_flights_csv(spark, path, schema=schema))
+    wide = raw.withColumnsRenamed({c: name for name, c in SOURCE_TO_CANONICAL.items()})
+    files.write_csv(wide.select(*reversed(wide.columns)), path)
+    return mdl.build_flights(files.read_flights_csv(spark, path))
 
 
 @register("append_round_trip", with_base(f"SELECT {_ALL} FROM flights"))
@@ -171,11 +172,69 @@ def q_rejected_rows(spark, sf_dir):
     return _incremental(spark, sf_dir)[1].select("flight_id", "error")
 
 
-@register("rows_as_json", None)
+_NO_KEY = [c for c in FLIGHT_COLUMNS if c != "flight_id"]
+
+
+def _two_loads(spark, sf_dir) -> tuple[str, str]:
+    """S6 for records without a key: a first load of the early rows, then one of the whole
+    source; each takes what the stored rows lack. Returns the folders of (valid, rejected)."""
+    source = cut_lineage(mdl.build_flights(fx.flights_raw(spark, sf_dir).drop("FLIGHT_ID")).drop("flight_id"))
+    valid_path, rejected_path = _fresh(spark, "loads-valid"), _fresh(spark, "loads-rejected")
+    loaded, last = None, 0
+    for batch in (source.where(F.col("fl_date") < F.lit("1998-01-01").cast("date")), source):
+        valid, rejected = tbl.incremental_append(batch, loaded=loaded)
+        files.append_table(tbl.with_unique_id(valid, last), valid_path)
+        files.append_table(rejected, rejected_path)
+        stored = spark.read.parquet(valid_path)
+        loaded = stored.select(*_NO_KEY).union(spark.read.parquet(rejected_path).select(*_NO_KEY))
+        last = tbl.high_water_mark(stored) or 0
+    return valid_path, rejected_path
+
+
+@register("incremental_loads", with_base(f"""
+SELECT {", ".join(_NO_KEY)}, CASE WHEN fl_date IS NULL THEN 'fl_date missing or unparseable'
+       WHEN op_carrier IS NULL THEN 'op_carrier missing'
+       WHEN origin_airport_id IS NULL OR dest_airport_id IS NULL THEN 'airport id missing'
+       WHEN crs_dep_time IS NULL THEN 'crs_dep_time missing or invalid' END AS error
+FROM flights"""))
+def q_incremental_loads(spark, sf_dir):
+    """After both loads every record is stored exactly once, as valid or with its error."""
+    valid_path, rejected_path = _two_loads(spark, sf_dir)
+    valid = spark.read.parquet(valid_path).select(*_NO_KEY, F.lit(None).cast("string").alias("error"))
+    return valid.union(spark.read.parquet(rejected_path).select(*_NO_KEY, "error"))
+
+
+@register("unique_flight_ids", with_base("""
+SELECT count(*) AS n_rows, count(*) AS n_ids, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id FROM flights
+WHERE fl_date IS NOT NULL AND op_carrier IS NOT NULL AND origin_airport_id IS NOT NULL
+  AND dest_airport_id IS NOT NULL AND crs_dep_time IS NOT NULL"""))
+def q_unique_flight_ids(spark, sf_dir):
+    """The numbers given over two loads are unique and without gaps."""
+    stored = spark.read.parquet(_two_loads(spark, sf_dir)[0])
+    per_id = stored.groupBy("flight_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_id.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_ids"),
+                      F.min("flight_id").alias("first_id"), F.max("flight_id").alias("last_id"))
+
+
+_JSON_COLS = ", ".join("strftime(fl_date, '%Y-%m-%d') AS fl_date" if c == "fl_date" else c for c in FLIGHT_COLUMNS)
+
+
+@register("rows_as_json", with_base(f"SELECT {_JSON_COLS}, CAST({len(FLIGHT_COLUMNS)} AS INTEGER) AS n_keys FROM flights"))
 def q_rows_as_json(spark, sf_dir):
-    """Every flight row as one JSON object (rows-only check)."""
-    from airmetrics.operators.modelling import normalize_for_export
-    return files.to_records(normalize_for_export(flights(spark, sf_dir)))
+    """Every flight row as one JSON object; checked by parsing it back and counting its keys."""
+    rows = mdl.normalize_for_export(flights(spark, sf_dir))
+    record = files.to_records(rows)
+    return record.select(F.from_json("record", rows.schema).alias("r"),
+                         F.size(F.json_object_keys("record")).alias("n_keys")).select("r.*", "n_keys")
+
+
+@register("flights_with_airports", with_base("""
+SELECT flight_id, origin_airport_id, airport_seq_id AS origin_airport_seq_id, code AS origin_code, state_name AS origin_state_name
+FROM flights JOIN airports1 ON origin_airport_id = airport_id"""))
+def q_flights_with_airports(spark, sf_dir):
+    """Every flight with its origin airport."""
+    return flights_with_airports(flights(spark, sf_dir), airports(spark, sf_dir)).select(
+        "flight_id", "origin_airport_id", "origin_airport_seq_id", "origin_code", "origin_state_name")
 
 
 @register("materialized_chart", with_base("""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from airmetrics.operators.modelling import canonical_names
 from airmetrics.schemas import RAW_CSV
 
 
@@ -20,11 +21,21 @@ def read_flights_csv(spark: SparkSession, path: str, schema: T.StructType | None
     All columns are read as text with an explicit schema (no inference pass over
     100 TB); malformed lines are kept with nulls (PERMISSIVE). Conversion is
     done afterwards by the native cleaning expressions.
+
+    Without ``schema`` the columns are taken by name from the header of the file set (one
+    line is read for it): source or canonical names, in any order, among any others. The
+    result has the canonical columns, the record key and tail number where present, and
+    ``extra_columns``. A file whose header differs from the others' fails the read instead
+    of shifting columns; read sets of different layout one by one and union them by name.
     """
-    if schema is None:
-        schema = T.StructType(RAW_CSV.fields + [T.StructField(c, T.StringType()) for c in (extra_columns or [])])
-    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-            .option("enforceSchema", False).csv(path))
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
+    if schema is not None:
+        return reader.schema(schema).csv(path)
+    header = spark.read.option("header", True).csv(path).columns
+    rows = canonical_names(reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in header])).csv(path))
+    have = {c.upper(): c for c in rows.columns}
+    keep = [f"`{have[c]}`" for c in RAW_CSV.names if c in have]
+    return rows.select(*keep, *[f"`{c}`" for c in extra_columns or []])
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False, mode: str = "overwrite") -> None:
@@ -42,11 +53,12 @@ def with_month(flights: DataFrame) -> DataFrame:
 
 
 def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Append cleaned rows to a parquet table (fact: partitioned by month)."""
-    w = df.write.mode("append")
+    """Append cleaned rows to a parquet table (fact: partitioned by month). Rows are
+    rebalanced by the partition columns first, so a load does not write tasks x months files."""
     if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+        df.hint("rebalance", *partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("append").parquet(path)
 
 
 def write_flights(flights: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -8,11 +8,13 @@ is on the classpath. Parquet is the default store.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airmetrics.operators.joins import last_wins
+from airmetrics.session import scratch_path
 
 
 def jdbc_read_options(url: str, table: str, partition_column: str | None = None,
@@ -79,16 +81,36 @@ def default_rules() -> list[tuple[str, Column, str]]:
     ]
 
 
-def incremental_append(src: DataFrame, high_water, key: str = "flight_id",
-                       rules=None) -> tuple[DataFrame, DataFrame]:
+def not_loaded(src: DataFrame, loaded: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """The rows of ``src`` that no earlier load took (``loaded``: its valid and rejected rows).
+
+    Without ``key`` whole records are compared as a multiset: a record that ``src`` holds n
+    times and ``loaded`` m times comes out n - m times. Both sides are counted with map-side
+    partial aggregation, so a record that fills a third of the table is no hot key. ``key``
+    names the columns of a key that is truly unique; rows are then compared by it alone.
+    """
+    if key is None:
+        return src.exceptAll(loaded.select(*src.columns))
+    seen = loaded.select(*[F.col(c).alias(f"_seen_{c}") for c in key]).distinct()
+    same = reduce(lambda a, b: a & b, [src[c].eqNullSafe(F.col(f"_seen_{c}")) for c in key])
+    return src.join(seen, same, "left_anti")
+
+
+def incremental_append(src: DataFrame, high_water=None, key: str = "flight_id", rules=None,
+                       loaded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows after the stopping point, split into (valid, rejected).
 
+    The stopping point is ``loaded`` (what earlier loads took, see ``not_loaded``), or
+    ``high_water`` where ``key`` grows with every load. A hashed key does not: a new row's
+    hash may lie below the mark, so records without a key of their own need ``loaded``.
     ``rejected`` carries an ``error`` text (first failing rule). Both frames come
     from one projection; each batch is retried by Spark as a whole task, so a
     failed worker neither loses nor duplicates rows.
     """
     rules = rules or default_rules()
     new = src if high_water is None else src.where(F.col(key) > F.lit(high_water))
+    if loaded is not None:
+        new = not_loaded(new, loaded)
     err = F.lit(None).cast("string")
     for _, ok, text in reversed(rules):
         err = F.when(~F.coalesce(ok, F.lit(False)), F.lit(text)).otherwise(err)
@@ -99,3 +121,24 @@ def incremental_append(src: DataFrame, high_water, key: str = "flight_id",
 def high_water_mark(table: DataFrame, key: str = "flight_id"):
     """The largest key already loaded (one scalar)."""
     return table.agg(F.max(key)).first()[0]
+
+
+def with_unique_id(df: DataFrame, after: int = 0, column: str = "flight_id") -> DataFrame:
+    """C13 for records without a key of their own: ``column`` numbers the rows after + 1 ... after + n.
+
+    The rows are written once below the shared checkpoint folder with their task and place
+    in it, so the numbers do not change when a later job is retried. Each task's rows then
+    follow those of the tasks before it. No sort, no shuffle of rows, no hot key; the table of
+    task sizes has one row per write task. Start the next load after ``high_water_mark``.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"numbered-{uuid.uuid4().hex}")
+    placed = df.withColumn("_place", F.monotonically_increasing_id())  # task << 33 | row in the task
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path).withColumn("_task", F.shiftright("_place", 33))
+    sizes = rows.groupBy("_task").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_first"))
+    number = F.col("_first") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(after + 1)
+    # the sizes are left to the planner: AQE broadcasts them where their measured size is small
+    return rows.join(first, "_task").withColumn(column, number.cast("long")).drop("_place", "_task", "_first")

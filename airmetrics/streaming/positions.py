@@ -10,6 +10,7 @@ is bounded by a watermark on the report time.
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,35 +187,45 @@ def read_message_stream(spark: SparkSession, source: str, max_files: int | None
     return r.json(source)
 
 
+@dataclass(frozen=True)
+class PositionLog:
+    """The two queries of a position log with a reject sink. Each has its own checkpoint
+    and reads the source by itself, so either can be restarted alone."""
+
+    positions: StreamingQuery
+    rejected: StreamingQuery
+
+    def awaitTermination(self) -> None:
+        self.positions.awaitTermination()
+        self.rejected.awaitTermination()
+
+    def stop(self) -> None:
+        self.positions.stop()
+        self.rejected.stop()
+
+
 def start_position_log(messages: DataFrame, sink_path: str, checkpoint: str,
                        trigger: dict | None = None, dedup: bool = False,
-                       rejected_path: str | None = None) -> StreamingQuery:
+                       rejected_path: str | None = None) -> StreamingQuery | PositionLog:
     """Valid -> flatten -> append to parquet, with a checkpoint.
 
     ``trigger`` defaults to ``processingTime='10 seconds'``; the batch size is set
     on the source (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``). With
-    ``rejected_path`` the rejected messages go to a second sink in the same batch.
+    ``rejected_path`` the rejected messages go to a second sink with their reason, by a
+    query of its own (checkpoint ``<checkpoint>-rejected``); the position sink has the
+    same columns and the same ``dedup`` in both forms.
     """
-    flat = flatten_positions(valid_positions(messages))
-    if dedup:
-        flat = dedup_reports(flat)
     trigger = trigger or {"processingTime": "10 seconds"}
+
+    def append(rows: DataFrame, path: str, state: str) -> StreamingQuery:
+        return (rows.writeStream.format("parquet").outputMode("append")
+                .option("checkpointLocation", state).trigger(**trigger).start(path))
+
+    flat = flatten_positions(valid_positions(messages))
+    log = append(dedup_reports(flat) if dedup else flat, sink_path, checkpoint)
     if rejected_path is None:
-        return (flat.writeStream.format("parquet").outputMode("append")
-                .option("checkpointLocation", checkpoint).trigger(**trigger).start(sink_path))
-
-    def both(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            # idempotent per batch id: a replayed batch rewrites its own folder
-            flatten_positions(valid_positions(batch)).write.mode("overwrite") \
-                .parquet(f"{sink_path}/batch={batch_id}")
-            rejected_positions(batch).write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
-        finally:
-            batch.unpersist()
-
-    return (messages.writeStream.foreachBatch(both)
-            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+        return log
+    return PositionLog(log, append(rejected_positions(messages), rejected_path, f"{checkpoint.rstrip('/')}-rejected"))
 
 
 def replay_folder(spark: SparkSession, messages: DataFrame, base: str, parts: int = 4) -> str:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airmetrics.llm.common import stored, text_of
-from airmetrics.llm.segments import gram_hash, mix, row_slices, sliding_min, text_bytes
+from airmetrics.llm.segments import mix, row_slices, sliding_min, text_bytes
 
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -47,19 +47,28 @@ class Units:
     cut: Callable
     length: int
     gram: int
-    slice_bytes: int = 1 << 20
+    slice_bytes: int = 1 << 17
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of ``base`` and of its inverse modulo 2**64; kept while they are slice-sized."""
+    have = _KEPT.get(base)
+    if have is None or len(have[0]) < n:
+        size = max(n, 1 << 17)
+        have = tuple(np.cumprod(np.append(np.uint64(1), np.full(size - 1, b, np.uint64))) for b in (base, pow(base, -1, 1 << 64)))
+        if size <= 1 << 22:
+            _KEPT[base] = have
+    return have[0][:n], have[1][:n]
+
+
+_KEPT: dict[int, tuple] = {}
 
 
 class Digests:
     """Hashes of any run of units, from prefix sums of a polynomial."""
 
     def __init__(self, h: np.ndarray, base: int = _BASE):
-        power = np.full(len(h) + 1, base, np.uint64)
-        power[:1] = 1
-        back = np.full(len(h) + 1, pow(base, -1, 1 << 64), np.uint64)
-        back[:1] = 1
-        np.cumprod(power, out=power)
-        self._back = np.cumprod(back)
+        power, self._back = _powers(base, len(h) + 1)
         self._sum = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(h * power[:-1], out=self._sum[1:])
 
@@ -74,7 +83,9 @@ def _contexts_of(h: np.ndarray, row_first: np.ndarray, u: Units):
     if n <= 0:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     row = np.repeat(np.arange(len(row_first) - 1), np.diff(row_first))
-    grams = gram_hash(h, u.gram)
+    digests = Digests(h)
+    at = np.arange(len(h) - u.gram + 1)
+    grams = digests.of(at, at + u.gram)
     bits = np.uint64(max(22, len(grams).bit_length()))
     keyed = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)  # equal values: the leftmost
     place = (sliding_min(keyed, u.length - u.gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -87,7 +98,7 @@ def _contexts_of(h: np.ndarray, row_first: np.ndarray, u: Units):
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(window)))
     start, anchor = window[at], place[at]
-    digest = Digests(h, _BASE).of(start, start + size + u.length - 1)
+    digest = digests.of(start, start + size + u.length - 1)
     digest = mix(digest + (anchor - start).astype(np.uint64) * np.uint64(_BASE2) + size.astype(np.uint64))
     return row[start], start, size, grams[anchor], digest
 

@@ -66,64 +66,73 @@ class Columns:
 
 def common(columns: Columns, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Common prefixes of suffix pairs (suffix = (depth - 1) * documents + document), at most ``cap`` symbols."""
-    n, width = columns.documents, 8
-    depth = np.minimum(a // n, b // n) + 1
-    limit = np.minimum(depth, cap)
-    flat = columns.symbols.reshape(-1)
-    start_a = (a % n + 1) * columns.symbols.shape[1] - (a // n + 1)
-    start_b = (b % n + 1) * columns.symbols.shape[1] - (b // n + 1)
+    n, flat = columns.documents, columns.symbols.reshape(-1)
+    (depth_a, doc_a), (depth_b, doc_b) = np.divmod(a, n), np.divmod(b, n)
+    limit = np.minimum(np.minimum(depth_a, depth_b) + 1, cap)
+    at_a = (doc_a + 1) * columns.symbols.shape[1] - (depth_a + 1)
+    at_b = (doc_b + 1) * columns.symbols.shape[1] - (depth_b + 1)
     out = np.zeros(len(a), np.int64)
     left = np.flatnonzero(limit > 0)
-    step = np.arange(width)
-    while len(left):
-        at = out[left][:, None] + step
-        ok = at < limit[left][:, None]
-        top = len(flat) - 1
-        same = ok & (flat[np.minimum(start_a[left][:, None] + at, top)] == flat[np.minimum(start_b[left][:, None] + at, top)])
-        run = np.where(same.all(axis=1), width, np.argmin(same, axis=1))
-        out[left] += run
-        left = left[(run == width) & (out[left] < limit[left])]
+    step = 0
+    while len(left):  # most pairs part at their first symbol
+        left = left[flat[at_a[left] + step] == flat[at_b[left] + step]]
+        step += 1
+        out[left] = step
+        left = left[limit[left] > step]
     return out
 
 
+def _spots(order: np.ndarray, place: np.ndarray, n: int, lo: np.ndarray, hi: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """For each new suffix, the number of rows before it: binary search for the place of what follows its first
+    symbol among the rows ``lo`` to ``hi`` that begin with that symbol."""
+    lo, hi = lo.copy(), hi.copy()
+    left = np.flatnonzero(lo < hi)
+    while len(left):
+        mid = (lo[left] + hi[left]) >> 1
+        row = order[mid]
+        less = np.where(row < n, row, place[np.maximum(row - n, 0)] + n) < rest[left]
+        lo[left[less]] = mid[less] + 1
+        hi[left[~less]] = mid[~less]
+        left = left[lo[left] < hi[left]]
+    return lo
+
+
 def build(columns: Columns, cap: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in sorted order, common prefix with the row before, capped) after all rounds."""
     n = columns.documents
-    total = int(columns.lengths.sum())
-    place = np.zeros(n * max(1, columns.rounds), np.int32)  # place of each suffix; end marks come before all
+    place = np.zeros(n * max(1, columns.rounds), np.int64)  # place of each suffix; end marks come before all
     order_file, prefix_file = os.path.join(folder, "order-0"), os.path.join(folder, "prefix-0")
     np.zeros(0, np.int32).tofile(order_file)
     np.zeros(0, np.uint8).tofile(prefix_file)
-    if total == 0:
-        return np.zeros(0, np.int32), np.zeros(0, np.uint8)
     flat = columns.symbols
+    begins = np.zeros(int(flat.max(initial=0)) + 2, np.int64)  # [c + 1]: rows that begin with symbol c
     for depth in range(1, columns.rounds + 1):
         docs = np.flatnonzero(columns.lengths >= depth)
         order = np.fromfile(order_file, np.int32)
         prefix = np.fromfile(prefix_file, np.uint8)
         symbol = flat[docs, columns.rounds - depth].astype(np.int64)
-        rest = docs if depth == 1 else place[(depth - 2) * n + docs].astype(np.int64) + n
-        key = (symbol << 32) | rest
-        by = np.argsort(key, kind="stable")
-        key, new = key[by], ((depth - 1) * n + docs[by]).astype(np.int32)
-        # keys of the rows already there: their first symbol and the present place of what follows it
-        first = flat[order % n, columns.rounds - 1 - order // n].astype(np.int64)
-        old_rest = np.where(order < n, order, place[np.maximum(order - n, 0)].astype(np.int64) + n)
-        spot = np.searchsorted((first << 32) | old_rest, key)
+        rest = docs if depth == 1 else place[(depth - 2) * n + docs] + n
+        by = np.argsort((symbol << 32) | rest)
+        symbol, rest, new = symbol[by], rest[by], ((depth - 1) * n + docs[by]).astype(np.int32)
+        upto = np.cumsum(begins)
+        spot = _spots(order, place, n, upto[symbol], upto[symbol + 1], rest)
         at = spot + np.arange(len(new))
+        begins += np.bincount(symbol + 1, minlength=len(begins))
         merged = np.empty(len(order) + len(new), np.int32)
-        is_new = np.zeros(len(merged), bool)
+        is_new = np.zeros(len(merged) + 1, bool)
         is_new[at] = True
-        merged[at], merged[~is_new] = new, order
+        old = ~is_new[:-1]
+        merged[at], merged[old] = new, order
         joined = np.zeros(len(merged), np.uint8)
-        joined[~is_new] = prefix
-        check = np.unique(np.concatenate([at, at + 1]))
-        check = check[(check > 0) & (check < len(merged))]
+        joined[old] = prefix
+        is_new[1:] |= is_new[:-1]  # a new row and the row behind it
+        is_new[0] = False
+        check = np.flatnonzero(is_new[:-1])
         joined[check] = common(columns, merged[check - 1].astype(np.int64), merged[check].astype(np.int64), cap)
-        joined[0] = 0
-        place[merged] = np.arange(len(merged), dtype=np.int32)
-        for old in (order_file, prefix_file):
-            os.remove(old)
+        joined[:1] = 0
+        place[merged] = np.arange(len(merged))
+        for done in (order_file, prefix_file):
+            os.remove(done)
         order_file, prefix_file = os.path.join(folder, f"order-{depth}"), os.path.join(folder, f"prefix-{depth}")
         merged.tofile(order_file)
         joined.tofile(prefix_file)
@@ -150,7 +159,7 @@ def search_bytes(u: Units, texts: list[bytes], weights: np.ndarray, windows: np.
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 24, shard_units: int = 1 << 20, hot: int = 2000,
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, shard_units: int = 1 << 18, hot: int = 2000,
                    id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes)."""
     if length % STEP:

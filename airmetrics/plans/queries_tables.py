@@ -156,7 +156,8 @@ def q_head_flights(spark, sf_dir):
     return prof.head(flights(spark, sf_dir), 5)
 
 
-DESCRIBE_COLS = ["dep_delay", "arr_delay", "air_time", "distance", "flights"]
+DESCRIBE_COLS = ["op_carrier_airline_id", "origin_airport_id", "dest_airport_id", "crs_dep_time", "dep_time", "dep_delay",
+                 "wheels_off", "wheels_on", "crs_arr_time", "arr_time", "arr_delay", "air_time", "distance", "flights"]
 
 
 def _describe_sql() -> str:

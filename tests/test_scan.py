@@ -34,6 +34,22 @@ def test_exact_quantiles(spark):
         assert abs(got[f"q{i}"] - np.quantile(vals, p)) < 1e-9
 
 
+def test_column_quantiles(spark):
+    """Several columns at once: a hot value, nulls, an empty column; an empty table."""
+    from airmetrics.operators.profile import column_quantiles
+
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(0, 9, 700), rng.integers(0, 5, 700).astype(float)
+    rows = [(float(x), None if i % 7 == 0 else int(y) if i % 3 else 2, None) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "x double, y int, z double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r["column_name"]: [r[f"q{i}"] for i in range(5)] for r in column_quantiles(df, ["x", "y", "z"], probs).collect()}
+    assert np.allclose(got["x"], np.quantile(a, probs))
+    assert np.allclose(got["y"], np.quantile([r[1] for r in rows if r[1] is not None], probs))
+    assert got["z"] == [None] * 5
+    assert [r["q0"] for r in column_quantiles(df.limit(0), ["x", "y"], [0.5]).collect()] == [None, None]
+
+
 def brute_lowess(x, y, frac, iterations=0):
     """The definition, row by row: k nearest rows give the radius, tricube weights,
     weighted linear fit; robustness passes reweight rows by the bisquare of

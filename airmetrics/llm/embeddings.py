@@ -5,7 +5,7 @@ cosine ``c`` the difference of a projection is normal with variance ``2 - 2c``,
 chance ``p`` that one falls into the other's window (query-centred, half width ``window``)
 is known, and the number of collisions over ``m`` projections is Binomial(m, p). The count
 a pair must reach is the largest with which a pair at exactly the threshold still passes
-with probability ``recall``; closer pairs pass more often. Pairs that pass are verified by
+with probability ``recall`` (cells and both counts together); closer pairs pass more often. Pairs that pass are verified by
 their cosine in double precision.
 
 * Equal vectors are grouped first (one hash aggregation); a group counts as one vector with
@@ -13,9 +13,11 @@ their cosine in double precision.
 * Spread: the first ``depth`` projections are cut at their medians. A vector is owned by the
   cell of its signs and also visits every cell that differs only in projections where it
   lies within ``cell_window`` of the cut (a query-centred window again). A pair is admitted
-  when both lie in the window of every cut that separates them, which is symmetric, so each
-  link is met once from either side and link counts need no pair list. ``depth`` grows with the
-  logarithm of the number of vectors. Owners of a cell are dealt to blocks of at most
+  when either one lies in the window of every cut that separates them. If both do, each counts
+  the link where it is owner; if only one does, the two meet once and both count it there, so
+  link counts need no pair list. ``depth`` grows with the logarithm of the number of vectors, and
+  the window is widened with it (``cell_window_for``) so that the cells lose no more than a third of what
+  ``recall`` lets be missed. Owners of a cell are dealt to blocks of at most
   about ``block_rows`` (a hot cell has more blocks), and visitors pass a block in sorted runs.
 * In a block the collisions of a few projections are counted first, the rest only for pairs that
   can still reach the count.
@@ -55,6 +57,36 @@ def required_count(m: int, p: float, recall: float) -> int:
     return m
 
 
+def cell_miss(threshold: float, depth: int, cell_window: float) -> float:
+    """Chance that ``depth`` cuts keep a pair at cosine ``threshold`` apart: neither lies in the window of all cuts that separate them.
+
+    Distances to a cut are normal with variance ``s2`` for each of the pair and ``2 - 2 * threshold`` for their difference. How
+    close the table lies around its centre sets ``s2``; the worst is taken.
+    """
+    if threshold >= 1 or depth == 0:
+        return 0.0
+    far = np.linspace(cell_window, cell_window + 8, 1601)
+    step, worst = far[1] - far[0], 0.0
+    tail = np.vectorize(lambda x: (1 - erf(x / sqrt(2))) / 2)
+    for s2 in np.linspace((1 - threshold) / 2, 1, 24)[1:]:
+        rho = 1 - (1 - threshold) / s2
+        spread = sqrt(s2 * (1 - rho * rho))
+        density = 2 * np.exp(-far * far / (2 * s2)) / sqrt(2 * np.pi * s2) * step
+        density[[0, -1]] /= 2
+        one = float(density @ tail(rho * far / spread))  # this one outside the window, the other behind the cut
+        both = float(density @ tail((cell_window + rho * far) / spread))  # and that one outside as well
+        worst = max(worst, 1 - 2 * (1 - one) ** depth + (1 - 2 * one + both) ** depth)
+    return worst
+
+
+def cell_window_for(threshold: float, depth: int, miss: float, least: float) -> float:
+    """Smallest window from ``least`` up (by 0.02) with which the cells lose at most ``miss`` of the pairs at the threshold."""
+    out = least
+    while cell_miss(threshold, depth, out) > miss:
+        out += 0.02
+    return out
+
+
 def directions(dim: int, m: int) -> np.ndarray:
     return np.random.default_rng([_SEED, dim]).standard_normal((dim, m))
 
@@ -88,23 +120,24 @@ class _Block:
         self.merger = Merger(self.ids)
         p = erf(window / sqrt(2 * (2 - 2 * threshold))) if threshold < 1 else 1.0
         self.window, self.early, self.threshold = np.float32(window), early, threshold
-        share = 1 - (1 - recall) / 2  # what may be missed is split between the early and the whole count
+        share = 1 - (1 - recall) / 3  # what may be missed is split between the cells, the early and the whole count
         self.need_early, self.need = required_count(early, p, share), required_count(m, p, share)
 
-    def meet(self, ids, codes, weights, vectors, depth: int) -> None:
+    def meet(self, ids, codes, weights, vectors, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Counts the owners' links; returns (visitor, links) of those that the visitors' own cells do not see."""
         u = _units(vectors)
         proj = (u @ directions(u.shape[1], depth + self.proj.shape[1])[:, depth:]).astype(np.float32)
         order = np.argsort(proj[:, 0], kind="stable")
-        for at in range(0, len(order), 256):
-            o = order[at:at + 256]
-            self._run(ids[o], codes[o], weights[o], u[o], proj[o])
+        runs = [order[at:at + 256] for at in range(0, len(order), 256)]
+        seen = [self._run(ids[o], codes[o], weights[o], u[o], proj[o]) for o in runs]
+        return [x for x in seen if x is not None]
 
-    def _run(self, ids, codes, weights, u, proj) -> None:
+    def _run(self, ids, codes, weights, u, proj):
         # all owners are counted; the sorted first projection tells which can collide on it
         coarse = _coarse(proj)
         rows, cols = self._pass(proj, coarse)
         if not len(rows):
-            return
+            return None
         o, v = np.unique(rows), np.unique(cols)
         dense = np.zeros((len(o), len(v)), bool)
         dense[np.searchsorted(o, rows), np.searchsorted(v, cols)] = True
@@ -112,7 +145,7 @@ class _Block:
             dense &= self._count(self.coarse[:, o], coarse[:, v], range(proj.shape[1])) >= self.need
             r, c = np.nonzero(dense) if dense.any() else (np.zeros(0, np.int64),) * 2
             if not len(r):
-                return
+                return None
             link = dense & ((self.u[o] @ u[v].T) >= self.threshold)
         else:
             count = (np.abs(self.proj[rows] - proj[cols]) <= self.window).sum(axis=1)
@@ -121,14 +154,16 @@ class _Block:
             good = np.einsum("ij,ij->i", self.u[rows], u[cols]) >= self.threshold
             link = np.zeros(dense.shape, bool)
             link[np.searchsorted(o, rows[good]), np.searchsorted(v, cols[good])] = True
-        # a cut that separates the two must lie in both windows: own bits and near bits of either
-        other = self.codes[o, 0][:, None] ^ codes[v, 0][None, :]
-        link &= (other & ~self.codes[o, 1][:, None]) == 0
-        link &= (other & ~codes[v, 1][None, :]) == 0
         link &= self.ids[o][:, None] != ids[v][None, :]
-        if link.any():
-            self.links[o] += link @ weights[v]
-            self.merger.add(link if len(o) == len(self.ids) else self._wide(link, o), ids[v])
+        if not link.any():
+            return None
+        self.links[o] += link @ weights[v]
+        self.merger.add(link if len(o) == len(self.ids) else self._wide(link, o), ids[v])
+        # the visitor came through all cuts between the two; where the owner cannot go the other way, both count here
+        other = self.codes[o, 0][:, None] ^ codes[v, 0][None, :]
+        once = link & ((other & ~self.codes[o, 1][:, None]) != 0)
+        met = np.flatnonzero(once.any(axis=0))
+        return (ids[v[met]], once[:, met].T @ self.weights[o]) if len(met) else None
 
     def _wide(self, link: np.ndarray, o: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.ids), link.shape[1]), bool)
@@ -184,6 +219,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, projections: int
                                                                       F.first("v").alias("v")), "vector-groups")
     n = groups.count()
     depth = max(0, (max(n, 1) // cell_rows).bit_length())
+    cell_window = cell_window_for(threshold, depth, (1 - recall) / 3, cell_window)
     found = _links(groups, n, depth, threshold, projections, early, window, cell_window, recall, block_rows)
     per = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     # equal vectors under several ids, or one id on several vectors, are edges of their own
@@ -201,8 +237,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, projections: int
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _with_bit(bit: int):
-    return lambda x: x.bitwiseOR(F.lit(bit))
+def _subsets(masks, bit):
+    return F.when(F.col("near").bitwiseAND(bit) != 0, F.concat(masks, F.transform(masks, lambda x: x.bitwiseOR(bit)))).otherwise(masks)
 
 
 def _links(groups: DataFrame, n: int, depth: int, threshold, m, early, window, cell_window, recall, block_rows) -> DataFrame:
@@ -230,10 +266,9 @@ def _links(groups: DataFrame, n: int, depth: int, threshold, m, early, window, c
     near = [(F.abs(F.col("lead")[i] - c) <= cell_window).cast("int") * (1 << i) for i, c in enumerate(cuts)]
     total = lambda cs: sum(cs, F.lit(0)).cast("long")
     coded = led.select("id", "w", "v", total(bits).alias("code"), total(near).alias("near"), (F.length("v")).alias("size"))
-    masks = F.array(F.lit(0).cast("long"))
-    for i in range(depth):  # all subsets of the near bits
-        has = F.col("near").bitwiseAND(1 << i) != 0
-        masks = F.when(has, F.concat(masks, F.transform(masks, _with_bit(1 << i)))).otherwise(masks)
+    zero = F.array(F.lit(0).cast("long"))
+    bit = F.array(*[F.lit(1 << i).cast("long") for i in range(depth)]) if depth else None
+    masks = zero if bit is None else F.aggregate(bit, zero, _subsets)  # of the near bits; nested columns would triple with each bit
     owners = coded.groupBy("size", "code").agg(F.count("*").alias("n"))
     blocks = owners.select("size", F.col("code").alias("cell"), F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
     own = (coded.withColumn("cell", F.col("code")).join(blocks, ["size", "cell"])
@@ -280,7 +315,10 @@ def _links(groups: DataFrame, n: int, depth: int, threshold, m, early, window, c
                     state = _Block(ids, codes, w, [x for h in held for x in h[3]], window, early, m, recall, threshold, depth)
                     held = []
                 if state is not None:
-                    state.meet(*part, depth)
+                    if seen := state.meet(*part, depth):
+                        a_ids, a_n = (np.concatenate(x) for x in zip(*seen, strict=True))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(a_ids), pa.array(a_n), pa.nulls(len(a_ids), pa.int64())], names=["a", "n", "b"])
         if (out := close()) is not None:
             yield out
 

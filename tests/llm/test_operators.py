@@ -239,6 +239,23 @@ def test_embeddings_equal_brute_force(spark):
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embedding_links_at_the_threshold_survive_many_cells(spark):
+    """Pairs of cosine 0.90 to 0.92 over 9 cuts, alone in their neighbourhood: nearly all are linked, from both sides."""
+    rng, pairs, dim = np.random.default_rng(12), 600, 64
+    a, b = rng.standard_normal((2, pairs, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    c = rng.uniform(0.9001, 0.92, pairs)[:, None]
+    v = np.concatenate([a, c * a + np.sqrt(1 - c * c) * b])
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(frame.repartition(8), cell_rows=4).collect()}
+    assert sum(r.n_links for r in got.values()) >= 0.99 * 2 * pairs
+    assert all(got[i].n_links == got[i + pairs].n_links and (got[i].component_id == got[i + pairs].component_id) == bool(got[i].n_links)
+               for i in range(pairs))
+    assert all(embeddings.cell_miss(0.9, d, embeddings.cell_window_for(0.9, d, 0.005 / 3, 0.8)) <= 0.005 / 3 for d in (1, 8, 15))
+
+
 def test_toxicity_learns_and_locates(spark):
     rng = random.Random(4)
     rows, labels = [], []

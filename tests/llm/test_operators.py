@@ -297,6 +297,29 @@ def test_secret_scan_and_redaction(spark):
     assert secrets_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_any_shape_are_candidates(spark):
+    rng = random.Random(8)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    filler = [(i, f'the river token = "{hexa(40)}" made' if i % 2 else f"card {rng.randrange(10**15, 10**16)} long") for i in range(60)]
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n" + "qRtZ/" * 12 + "\n-----END RSA PRIVATE KEY-----"
+    twice = hexa(32)
+    texts = {100: ("set password=hunter2! now", "hunter2!"), 101: ("key sk_live_abcdefGHIJKLmnop here", "sk_live_abcdefGHIJKLmnop"),
+             102: ("go to postgres://bob:s3c!t@db.host/x now", "s3c!t"), 103: (f"see {pem} end", pem),
+             104: ('"api_key": "two words, $x", next', "two words, $x"), 105: (f"aa {twice} then password={twice} end", twice),
+             106: ("token xoxb-abcdefghij ok", "xoxb-abcdefghij"), 107: ("pwd: x9.", "x9")}
+    docs = spark.createDataFrame(filler + [(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    found = secrets_scan.scan(docs)
+    rows = {(r.id, r.candidate): r for r in found.collect()}
+    assert {(i, c) for i, (_, c) in texts.items()} <= set(rows)
+    assert rows[105, twice].before.endswith("password=") and rows[105, twice].after == " end"
+    assert all(rows[i, texts[i][1]].is_secret for i in (101, 102, 103, 105, 106))
+    one = spark.createDataFrame([(i, c, True) for i, (_, c) in texts.items()] + [(200, "we", True)], "id long, candidate string, is_secret boolean")
+    more = docs.union(spark.createDataFrame([(200, "we were: password=we and we")], docs.schema))
+    clean = {r.doc_id: r.text for r in secrets_scan.redact(more, one).collect()}
+    assert all(clean[i] == t.replace(c, "[SECRET]") for i, (t, c) in texts.items())
+    assert clean[200] == "we were: password=[SECRET] and we"
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 

@@ -13,10 +13,10 @@ not none, is one window) and the documents' word positions.
   lie in the document (position bound) and leave room for the window's words (length bound).
 * Verify: all words of the window are compared at that place; a hit window marks its words.
 
-Documents are read where they are (no shuffle of text). Items are taken in blocks of at
-most ``block_windows`` distinct windows, each block broadcast on its own, so what is broadcast
-has a fixed bound however large the benchmark is; a document's word hits are carried from
-block to block as a bit set.
+Documents are read where they are (no shuffle of text). Items are cut into windows on Spark, the
+distinct windows are dealt by hash to blocks of about ``block_windows`` and written. The driver
+reads one block at a time and broadcasts it on its own; a document's word hits are carried from
+block to block as a bit set, and written after every ``_CHAIN`` blocks, whose broadcasts then go.
 
 Defined results: null texts have no words; a null item id is listed as "null"; repeated
 items and documents are each judged (an item id counts once per document); empty tables
@@ -32,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airmetrics.llm.common import text_of
+from airmetrics.llm.common import stored, text_of
 from airmetrics.llm.segments import gram_hash, mix, plain_words, row_slices, text_bytes, words_of
 
 _SLICE = 1 << 21
+_CHAIN = 8
 
 
 def _columns(batch: pa.RecordBatch, names: list[str], cols: list) -> pa.RecordBatch:
@@ -76,6 +77,27 @@ def item_windows(items: list[tuple[str | None, str | None]], window: int) -> dic
     return out
 
 
+def _window_blocks(items: DataFrame, window: int, block_windows: int) -> tuple[DataFrame, int]:
+    """Written rows (block, words, ids), a row for each distinct window of the items (i, t), and the number of blocks."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = item_windows(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)), window)
+                rows = [(w, i) for w, ids in found.items() for i in ids]
+                words = [np.array(w, np.uint64).view(np.int64) for w, _ in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words, pa.list_(pa.int64())), pa.array([i for _, i in rows], pa.string())], names=["words", "id"])
+
+    windows = stored(items.where("t is not null").mapInArrow(run, "words array<long>, id string")
+                     .groupBy("words").agg(F.collect_set("id").alias("ids")), "benchmark-windows")
+    n = max(1, -(-windows.count() // block_windows))
+    if n == 1:
+        return windows.withColumn("block", F.lit(0)), n
+    return stored(windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(n)).cast("int")).orderBy("block"), "window-blocks"), n
+
+
 def _shingles(windows: list[tuple[int, ...]], size: int) -> list[tuple[int, np.ndarray]]:
     """For each window: shingle length and its positional shingle hashes."""
     return [(k := min(size, len(w)), _grams(np.array(w, np.uint64), k)) for w in windows]
@@ -205,12 +227,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
 
     texts = docs.select(text_of(docs, text_col).alias("text"))
     items = benchmark.select(benchmark[item_col].cast("string").alias("i"), benchmark[item_text_col].cast("string").alias("t"))
-    blocks: list[dict] = [{}]
-    for r in items.where("t is not null").toLocalIterator():  # a block at a time is kept beside the finished ones' sizes
-        for w, ids in item_windows([(r["i"], r["t"])], window).items():
-            if w not in blocks[-1] and len(blocks[-1]) >= block_windows:
-                blocks.append({})
-            blocks[-1].setdefault(w, set()).update(ids)
+    windows, n_blocks = _window_blocks(items, window, block_windows)
     sc = docs.sparkSession.sparkContext
     row_type = StructType([StructField("row", docs.schema, False)])
     state = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_of(docs, text_col).alias("text"),
@@ -218,14 +235,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
     mid = StructType([*row_type.fields, *state.schema.fields[1:]])
     end = StructType([*row_type.fields, StructField("n_words", LongType()), StructField("n_hit", LongType()),
                       StructField("items", ArrayType(StringType())), StructField("contaminated", BooleanType())])
-    for n, block in enumerate(blocks):
+    chain = []
+    for n in range(n_blocks):
+        block = {tuple(x & (2**64 - 1) for x in r["words"]): set(r["ids"]) for r in windows.where(F.col("block") == n).collect()}
         wanted: dict[int, list[np.ndarray]] = {}
         for k, grams in _shingles(list(block), shingle):
             wanted.setdefault(k, []).append(grams)
         counts = corpus_counts(texts, {k: np.concatenate(v) for k, v in wanted.items()}) if block else {}
         matcher = sc.broadcast(_Matcher(block, counts, shingle))
-        last = n == len(blocks) - 1
+        last = n == n_blocks - 1
         state = state.mapInArrow(_lazy(matcher, last), end if last else mid)
+        chain.append(matcher)
+        if len(chain) == _CHAIN and not last:
+            state = stored(state, "contamination")
+            for m in chain:
+                m.destroy()
+            chain = []
     return state
 
 

@@ -169,6 +169,21 @@ def test_contamination_equals_brute_force(spark, docs, rows):
     assert none.where("n_hit > 0 or contaminated").count() == 0 and none.count() == len(rows)
 
 
+def test_benchmark_reaches_the_driver_by_the_block(spark, monkeypatch):
+    """300 windows in blocks of about 30: the driver never sees more at a time, and the hits are those of one block."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(42)) for _ in range(10)]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"some words {t[10:-10]} more") for i, t in enumerate(texts)], "doc_id long, text string")
+    whole = Counter(map(tuple, decontaminate.digest(decontaminate.contamination(docs, bench)).collect()))
+    sizes, shingles = [], decontaminate._shingles
+    monkeypatch.setattr(decontaminate, "_shingles", lambda w, k: sizes.append(len(w)) or shingles(w, k))
+    monkeypatch.setattr(type(bench), "toLocalIterator", lambda *a, **b: pytest.fail("the benchmark is pulled to the driver"))
+    got = decontaminate.digest(decontaminate.contamination(docs, bench, block_windows=30))
+    assert Counter(map(tuple, got.collect())) == whole and len(sizes) == 20 and sum(sizes) == 600 and max(sizes) <= 60
+    assert all(r[2] > 0 for r in whole)
+
+
 def repeated(units, length):
     seen = Counter(tuple(u[i:i + length]) if isinstance(u, list) else u[i:i + length] for u in units for i in range(len(u) - length + 1))
     for u in units:

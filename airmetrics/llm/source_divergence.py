@@ -4,8 +4,8 @@ For every (lang, source) group of the documents, how its term shares differ from
 sources of its language (part ``pair``: one value a source) and which terms stand out against the
 language (part ``term``: the first ``top`` terms). All arithmetic is in whole numbers, so every plan gives the same rows.
 
-* Counting: each text is split natively; its terms are sorted and run-length counted in the row, so one
-  aggregation by (lang, source, term) yields both occurrences and documents. Terms in fewer than
+* Counting: terms are cut from the UTF-8 bytes in numpy, equal ones found by Arrow's exact dictionary; a slice of
+  rows gives one row per (lang, source, term) with occurrences and documents, which Spark adds up. Terms in fewer than
   ``least_docs`` documents of their language go; the rest are the V kept terms.
 * A share is p = 1 + floor(10^9 * (count + 1) / (N + V)), N the group's (or language's) count over kept terms;
   the divergence of p from q is floor((p - q)^2 / q). Products are taken as decimals, quotients are exact.
@@ -35,33 +35,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airmetrics.llm.common import stored
+from airmetrics.llm.segments import row_slices, text_bytes
 from airmetrics.operators.joins import bounded_broadcast
 
 TILE = 128  # sources of a tile
 FINE = 2048  # kept terms of one dense block
 BUFFER = 1 << 18  # rows held before a skyband is taken
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def term_runs(text: Column) -> Column:
-    """array<struct<term, n>>: the different terms of a text with their occurrences."""
-    terms = F.sort_array(F.filter(F.split(F.translate(text, _UPPER, _LOWER), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), lambda x: x != ""))
-
-    def runs(s: Column) -> Column:
-        ends = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
-        return F.transform(F.array(ends), lambda e: F.transform(e, lambda end, j: F.struct(
-            F.get(s, end - 1).alias("term"), (end - F.coalesce(F.get(e, j - 1), F.lit(0))).cast("long").alias("n"))))[0]
-
-    # an array of one binds the sorted terms, so that they are built once a row
-    return F.transform(F.array(terms), lambda s: F.when(F.size(s) > 0, runs(s)))[0]
+SLICE = 8 << 20  # bytes of text counted at once; a longer text stands alone
+_LETTERS = np.zeros(256, np.uint8)  # the byte of a term that a byte stands for; 0 separates
+_LETTERS[97:123], _LETTERS[65:91], _LETTERS[128:] = np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
+
+
+def _slice_counts(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, group, occurrences, documents) of the rows ``data[offsets[i]:offsets[i+1]]``, one entry a (group, term)."""
+    mapped = _LETTERS[data]
+    inside = mapped != 0
+    edge = inside.copy()
+    edge[1:] &= ~inside[:-1]
+    cuts = offsets[1:-1]
+    cuts = cuts[cuts < len(data)]
+    edge[cuts] |= inside[cuts]
+    packed = mapped[inside]
+    bounds = np.append(np.flatnonzero(edge[inside]), len(packed)).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(packed)).dictionary_encode()
+    size = max(len(words.dictionary), 1)
+    row = np.searchsorted(offsets, np.flatnonzero(edge), side="right") - 1
+    in_row, n = np.unique(row * size + words.indices.to_numpy(), return_counts=True)
+    key = group[in_row // size] * size + in_row % size
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.append(True, np.diff(key) != 0)) if len(key) else np.zeros(0, np.int64)
+    return (words.dictionary.take(pa.array(key[first] % size)), key[first] // size,
+            np.add.reduceat(n, first) if len(first) else n, np.diff(np.append(first, len(key))))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs); a group without any term has one row with a null term."""
+    """(lang, source, term, n, docs); every group also has one row with a null term."""
     empty = lambda c: F.coalesce(docs[c].cast("string"), F.lit(""))
-    rows = docs.select(empty("lang").alias("lang"), empty("source").alias("source"), F.explode_outer(term_runs(empty("text"))).alias("r"))
-    return rows.select("lang", "source", "r.term", "r.n").groupBy("lang", "source", "term").agg(
-        F.sum("n").alias("n"), F.count("*").alias("docs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = text_bytes(b.column("text"))
+            lang, source = (b.column(c).dictionary_encode() for c in ("lang", "source"))
+            wide = max(len(source.dictionary), 1)
+            groups, group = np.unique(lang.indices.to_numpy().astype(np.int64) * wide + source.indices.to_numpy(), return_inverse=True)
+            name = lambda at: (lang.dictionary.take(pa.array(groups[at] // wide)), source.dictionary.take(pa.array(groups[at] % wide)))
+            every = np.arange(len(groups))
+            none = pa.array(np.zeros(len(groups), np.int64))
+            yield pa.RecordBatch.from_arrays([*name(every), pa.nulls(len(groups), pa.string()), none, none], names)
+            for i, j in row_slices(offsets, SLICE):
+                terms, at, n, docs_of = _slice_counts(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], group[i:j])
+                for low in range(0, len(at), 20_000):
+                    cut = slice(low, low + 20_000)
+                    yield pa.RecordBatch.from_arrays([*name(at[cut]), terms[cut].cast(pa.string()), pa.array(n[cut]), pa.array(docs_of[cut])], names)
+
+    names = ["lang", "source", "term", "n", "docs"]
+    counted = docs.select(empty("lang").alias("lang"), empty("source").alias("source"), empty("text").alias("text")).mapInArrow(
+        run, "lang string, source string, term string, n long, docs long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -92,10 +123,14 @@ def skyband(g: np.ndarray, low: np.ndarray, k: int) -> np.ndarray:
                     kth[i] = heap[0]
             place = np.searchsorted(held_l[order], low[part], side="right") - 1
             part = part[g[part] > np.where(place >= 0, kth[place], -1)]
-        for i in part:
-            if np.count_nonzero((held_g[:m] >= g[i]) & (held_l[:m] <= low[i])) < k:
-                held_g[m], held_l[m], keep[i] = g[i], low[i], True
-                m += 1
+        for low_i in range(0, len(part), 256):
+            # earlier points of the chunk count whether held or not: those not held have k held dominators themselves
+            c = part[low_i:low_i + 256]
+            count = np.count_nonzero((held_g[:m, None] >= g[c]) & (held_l[:m, None] <= low[c]), axis=0)
+            count += np.count_nonzero(np.triu((g[c][:, None] >= g[c]) & (low[c][:, None] <= low[c]), 1), axis=0)
+            c = c[count < k]
+            held_g[m:m + len(c)], held_l[m:m + len(c)], keep[c] = g[c], low[c], True
+            m += len(c)
         at += step
         step = min(2 * step, 1 << 16)
     return keep

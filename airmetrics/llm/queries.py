@@ -174,3 +174,49 @@ SELECT lang, source, 'term', term, ((p - lp) * (p - lp) // lp)::BIGINT,
        CAST(row_number() OVER (PARTITION BY lang, source ORDER BY (p - lp) * (p - lp) // lp DESC, term) AS INTEGER) AS rank
 FROM shares WHERE n > 0 AND p > lp QUALIFY rank <= 200
 """
+
+
+@query
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airmetrics.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("lang", "class_distance", "word_distance")
+
+
+ORACLES["op11_quality_rules"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS lw FROM docs),
+win AS (SELECT r, i, list_slice(ws, i, i + 7) AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+cov AS (SELECT r, sum(least(8, step)) AS n FROM (SELECT r, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 8) AS step FROM rep) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)
+          WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+c AS (SELECT r, length(text) AS n, length(regexp_replace(text, '[a-z]', '', 'g')) AS small, length(regexp_replace(text, '[A-Z]', '', 'g')) AS capitals,
+             length(regexp_replace(text, '[0-9]', '', 'g')) AS digits, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS blanks,
+             length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS symbols, length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) AS wide FROM docs),
+base AS (
+  SELECT w.r, doc_id, lang, len(ws) AS n_words, c.blanks AS word_chars, c.n - c.symbols AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
+         coalesce(cov.n, 0) AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(cov.n, 0) > 30 * len(ws) AS base_failed
+  FROM w JOIN c USING (r) LEFT JOIN lines USING (r) LEFT JOIN cov USING (r)),
+df AS (SELECT lang, word, count(*) AS n FROM (SELECT DISTINCT r, lang, unnest(lw) AS word FROM w) GROUP BY ALL),
+common AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k
+           FROM df JOIN (SELECT lang, count(*) AS n_docs FROM docs GROUP BY lang) USING (lang) WHERE n >= n_docs * 0.05 QUALIFY k <= 40),
+bins AS (
+  SELECT r, lang, 'words' AS kind, coalesce(k, 0) AS k, count(*) AS n
+  FROM (SELECT r, lang, unnest(lw) AS word FROM w) LEFT JOIN common USING (lang, word) GROUP BY ALL
+  UNION ALL
+  SELECT r, lang, 'classes', unnest([1, 2, 3, 4, 5, 6, 7]),
+         unnest([n - small, n - capitals, n - digits, n - blanks, n - symbols, n - wide, small + capitals + digits + blanks + symbols + wide - 5 * n])
+  FROM c JOIN docs USING (r)),
+used AS (SELECT r, lang, n_words FROM base WHERE NOT base_failed AND n_words >= 50),
+refs AS (SELECT lang FROM used GROUP BY lang HAVING sum(n_words) >= 5000),
+shares AS (SELECT lang, kind, k, n / sum(n) OVER (PARTITION BY lang, kind) AS q
+           FROM (SELECT b.lang, kind, k, sum(n) AS n FROM bins b JOIN used USING (r) WHERE b.lang IN (FROM refs) GROUP BY ALL)),
+js AS (
+  SELECT r, kind, round(sqrt(greatest(0.5 + sum((p * log2(2 * p / (p + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END - q) / 2), 0)), 6) AS d
+  FROM (SELECT b.r, b.kind, n / sum(n) OVER (PARTITION BY b.r, b.kind) AS p, coalesce(s.q, 0) AS q
+        FROM bins b LEFT JOIN shares s ON s.lang = b.lang AND s.kind = b.kind AND s.k = b.k WHERE n > 0) GROUP BY r, kind)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND (n_words < 50 OR lang NOT IN (FROM refs) OR (a.d <= 0.25 AND b.d <= 0.37)) AS kept
+FROM base LEFT JOIN js a ON a.r = base.r AND a.kind = 'classes' LEFT JOIN js b ON b.r = base.r AND b.kind = 'words'
+"""

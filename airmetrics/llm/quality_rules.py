@@ -37,6 +37,7 @@ from airmetrics.operators.joins import bounded_broadcast
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
 WINDOW = 8
+MAX_LISTED = 20_000  # common words of all languages that reach the driver
 CLASSES = ["small", "capitals", "digits", "blanks", "symbols", "wide", "other"]
 
 
@@ -71,10 +72,15 @@ def repeated_words(words: Column) -> Column:
         steps = let(let(ranked, places), lambda p: F.transform(p, lambda x, j: F.least(F.lit(WINDOW), F.get(p, j + 1) - x)))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
+    def joined(step: int):
+        return lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step)))
+
     def of(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+        # hashes of 1, 2, 4 and 8 words from each place on; the last seven places hold no whole window
+        eight = let(let(let(F.transform(w, lambda x: F.xxhash64(x)), joined(1)), joined(2)), joined(4))
         return F.when(F.size(w) < WINDOW, 0).otherwise(
-            let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h))))
+            let(F.slice(eight, F.lit(1), F.size(w) - (WINDOW - 1)),
+                lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h))))
 
     return let(words, of).cast("long")
 
@@ -94,16 +100,21 @@ def _lang(docs: DataFrame, lang_col: str) -> Column:
     return F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang")
 
 
-def _runs(words: Column, common: Column) -> Column:
+def _runs(words: Column, common: Column, listed: list[str] | None) -> Column:
     """array<struct<k, n>>: how often each common word (place k) stands in the text; 0 for all other words."""
-    places = F.sort_array(F.transform(words, lambda w: F.array_position(common, w).cast("int")))
+    some = words if listed is None else F.filter(words, lambda w: w.isin(listed))
+    places = lambda s: F.sort_array(F.filter(F.transform(s, lambda w: F.array_position(common, w).cast("int")), lambda k: k > 0))
 
     def runs(s: Column) -> Column:
         ends = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
         return let(ends, lambda e: F.transform(e, lambda end, j: F.struct(
             F.get(s, end - 1).alias("k"), (end - F.coalesce(F.get(e, j - 1), F.lit(0))).cast("long").alias("n"))))
 
-    return let(places, lambda s: F.when(F.size(s) > 0, runs(s)))
+    def of(s: Column) -> Column:
+        other = F.array(F.struct(F.lit(0).alias("k"), (F.size(words) - F.size(s)).cast("long").alias("n")))
+        return F.when(F.size(s) > 0, F.concat(other, runs(s))).otherwise(other)
+
+    return let(places(some), of)
 
 
 def measures(docs: DataFrame, n_common: int = 40, common_share: float = 0.05, id_col: str = "doc_id", text_col: str = "text",
@@ -111,6 +122,9 @@ def measures(docs: DataFrame, n_common: int = 40, common_share: float = 0.05, id
     """The written table of all measures: id, lang, base measures, ``classes`` (character counts) and ``runs``."""
     common = stored(common_words(docs, n_common, common_share, text_col, lang_col), "common-words")
     text = F.col("text")
+    # one hash set of all common words spares most words the search in their language's list; beyond the bound there is none
+    listed = [r[0] for r in common.select(F.explode("common")).distinct().limit(MAX_LISTED + 1).collect()]
+    listed = listed if 0 < len(listed) <= MAX_LISTED else None
     rows = (docs.select(docs[id_col].alias("id"), _lang(docs, lang_col), text_of(docs, text_col).alias("text"))
             .join(bounded_broadcast(common), "lang", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>"))))
     words, blanks, symbols = words_of(text), _chars(text, BLANK), _chars(text, SYMBOLS)
@@ -119,7 +133,7 @@ def measures(docs: DataFrame, n_common: int = 40, common_share: float = 0.05, id
         "id", "lang", F.size(words).cast("long").alias("n_words"), (F.length(text) - blanks).cast("long").alias("word_chars"), symbols.alias("n_symbols"),
         repeated_lines(text).alias("n_dup_lines"), repeated_words(words).alias("n_repeat_words"),
         F.array(*counts).alias("c"), F.length(text).cast("long").alias("n_chars"),
-        F.coalesce(_runs(words_of(F.lower(text)), F.col("common")), F.array().cast("array<struct<k:int,n:bigint>>")).alias("runs"))
+        F.coalesce(_runs(words_of(F.lower(text)), F.col("common"), listed), F.array().cast("array<struct<k:int,n:bigint>>")).alias("runs"))
     rest = F.col("n_chars") - F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return stored(known.select("id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),

@@ -87,15 +87,14 @@ def brute_lowess(x, y, frac, iterations=0):
     return out
 
 
-@pytest.mark.parametrize("blocks,frac,its", [(None, 2 / 3, 0), (4, 2 / 3, 0), (3, 0.2, 0), (None, 0.05, 0),
-                                             (None, 0.6666666, 3), (4, 0.3, 2)])
-def test_lowess_brute_force(spark, blocks, frac, its):
+@pytest.mark.parametrize("blocks,frac,its,direct", [(None, 2 / 3, 0, 0), (3, 0.2, 0, 0), (4, 0.3, 2, 0), (None, 0.05, 2, 200)])
+def test_lowess_brute_force(spark, blocks, frac, its, direct):
     rng = np.random.default_rng(11)
     x = rng.integers(0, 60, 700).astype(float) * 2.5
     y = 3 + 0.4 * x + rng.normal(0, 5, 700) + np.where(rng.random(700) < 0.05, 80.0, 0.0)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
     got = {r.x: r.fitted for r in lowess(df, "x", "y", frac=frac, iterations=its, blocks=blocks,
-                                         digits=None).collect()}
+                                         digits=None, direct=direct).collect()}
     exp = brute_lowess(x, y, frac, its)
     assert set(got) == set(exp)
     for k in exp:
@@ -107,20 +106,48 @@ def test_lowess_heavy_value(spark):
     x = [5.0] * 80 + [1.0, 2.0, 9.0, 12.0] * 5
     y = [float(i % 7) for i in range(len(x))]
     df = spark.createDataFrame(list(zip(x, y)), "x double, y double")
-    got = {r.x: r.fitted for r in lowess(df, "x", "y", iterations=0, digits=None).collect()}
     exp = brute_lowess(x, y, 0.6666666)
-    for k in exp:
-        assert abs(got[k] - exp[k]) < 1e-6
+    for direct in (0, 200):
+        got = {r.x: r.fitted for r in lowess(df, "x", "y", iterations=0, digits=None, direct=direct).collect()}
+        for k in exp:
+            assert abs(got[k] - exp[k]) < 1e-6
 
 
-def test_lowess_spread_pairs(spark, monkeypatch):
-    """Force the branch that spreads the neighbour pairs over several partitions."""
+@pytest.mark.parametrize("bound", [200_000, 10])
+def test_lowess_narrow_windows_beside_wide_gaps(spark, monkeypatch, bound):
+    """Radii from 0.01 to 1e6 in one input; with the small bound every join is a shuffle join."""
     import airmetrics.operators.lowess as lw
-    monkeypatch.setattr(lw, "ROWS_PER_BLOCK", 100)
+    monkeypatch.setattr(lw, "DEFAULT_BROADCAST_ROWS", bound)
     rng = np.random.default_rng(5)
-    x = rng.integers(0, 80, 600).astype(float)
-    y = 1 + 0.2 * x + rng.normal(0, 2, 600)
+    x = np.concatenate([np.round(rng.random(300), 3), 5000 + rng.integers(0, 40, 200) / 2, [1e6, 2e6, -3e6]])
+    y = 1 + 2 * (x % 7) + rng.normal(0, 2, len(x))
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
-    got = {r.x: r.fitted for r in lw.lowess(df, "x", "y", iterations=1, digits=None).collect()}
-    exp = brute_lowess(x, y, lw.DEFAULT_FRAC, 1)
-    assert all(abs(got[k] - exp[k]) < 1e-6 for k in exp)
+    got = {r.x: r.fitted for r in lw.lowess(df, "x", "y", frac=0.1, iterations=1, digits=None).collect()}
+    exp = brute_lowess(x, y, 0.1, 1)
+    assert set(got) == set(exp) and all(abs(got[k] - exp[k]) < 1e-6 * max(1, abs(exp[k])) for k in exp)
+
+
+@pytest.mark.parametrize("g", [2000])
+def test_lowess_writes_rows_in_proportion_to_the_values(spark, monkeypatch, g):
+    import airmetrics.operators.lowess as lw
+    written, cut = [], lw.cut_lineage
+
+    def counting(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(lw, "cut_lineage", counting)
+    df = spark.range(g).select(F.col("id").cast("double").alias("x"), (F.col("id") % 13).cast("double").alias("y"))
+    assert lw.lowess(df, "x", "y", iterations=1).count() == g
+    assert written and max(written) <= 3 * g
+
+
+@pytest.mark.parametrize("n", [1, 7, 64])
+def test_blocks_make_up_their_range(spark, n):
+    from airmetrics.operators.lowess import _block_list
+    ranges = [(a, b) for a in range(n + 1) for b in range(a, n + 1)]
+    rows = spark.createDataFrame(ranges, "a long, b long").select("a", "b", _block_list("a", "b", n, 1).alias("p")).collect()
+    for r in rows:
+        covered = sorted(i for p in r.p for i in range(p.b << p.l, (p.b + 1) << p.l))
+        assert covered == list(range(r.a, r.b)) and len(r.p) <= 2 * n.bit_length()

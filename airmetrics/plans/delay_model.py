@@ -3,7 +3,7 @@
 The reference trains a boosted-tree model on one machine. Here: the training
 frame is a filtered projection (M1); the split is a hash of the flight id, so it
 is stable under any partitioning and re-computation (M2); categorical columns
-are indexed and target-encoded (M3); ``GBTRegressor`` trains with a validation
+become out-of-fold means of the label (M3); ``GBTRegressor`` trains with a validation
 indicator for early stopping (M4); metrics, residuals and scores are single
 aggregations or projections (M5-M7).
 """
@@ -12,20 +12,24 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
+from dataclasses import dataclass
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airmetrics.operators.histogram import histogram
 from airmetrics.operators.joins import bounded_broadcast
+from airmetrics.session import cut_lineage
 
 CATEGORICAL = ["op_carrier_airline_id", "tail_num", "origin_airport_id", "dest_airport_id"]
 NUMERIC = ["distance", "flights"]
 LABEL = "arr_delay"
 FEATURES = CATEGORICAL + NUMERIC
 TEST_SHARE = 0.2
+FOLDS = 8
 # md5 hex digests below this bound are the test split (share 0.2 of the hash space)
 _TEST_BOUND = "33333333333333333333333333333333"
 
@@ -52,40 +56,89 @@ def split(df: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     return df.where(~flag), df.where(flag)
 
 
-def _encoders() -> Pipeline:
-    idx = [f"{c}_idx" for c in CATEGORICAL]
-    enc = [f"{c}_te" for c in CATEGORICAL]
-    stages = [
-        SQLTransformer(statement="SELECT *, " + ", ".join(f"CAST({c} AS STRING) AS {c}_s" for c in CATEGORICAL)
-                       + " FROM __THIS__"),
-        StringIndexer(inputCols=[f"{c}_s" for c in CATEGORICAL], outputCols=idx, handleInvalid="keep"),
-        TargetEncoder(inputCols=idx, outputCols=enc, labelCol=LABEL, targetType="continuous",
-                      handleInvalid="keep", smoothing=10.0),
-        # the encoder tags its output nominal; "+ 0D" drops that metadata so the
-        # trees treat the encoded values as continuous.
-        SQLTransformer(statement="SELECT *, " + ", ".join(f"{c} + 0D AS {c}_num" for c in enc) + " FROM __THIS__"),
-        VectorAssembler(inputCols=[f"{c}_num" for c in enc] + NUMERIC, outputCol="features", handleInvalid="keep"),
-    ]
-    return Pipeline(stages=stages)
+def fold_of(folds: int = FOLDS, seed: int = 42) -> F.Column:
+    """The fold of a train row, 0 .. folds - 1 (at most 16); a pure function of flight_id and seed."""
+    digit = F.substring(F.md5(F.concat(F.col("flight_id").cast("string"), F.lit(f":fold{seed}"))), 1, 1)
+    return ((F.instr(F.lit("0123456789abcdef"), digit) - 1) % folds).cast("int")
+
+
+@dataclass
+class TargetEncoding:
+    """M3: label sums per (column, value, fold) of the train rows.
+
+    A row outside of train, and ``encode(..., out_of_fold=False)``, gets the smoothed mean of its value over
+    all train rows: (sum + smoothing * mean) / (n + smoothing). A train row gets the same from the rows of the
+    other folds alone (their value sums and their overall mean), so no train row sees its own label. A value that those
+    rows do not hold gets their overall mean. ``table``: (column, value, fold, encoded), fold -1 for
+    all train rows; ``default``: fold -> overall mean.
+    """
+
+    table: DataFrame
+    default: dict[int, float]
+    folds: int
+    seed: int
+
+    def encode(self, df: DataFrame, out_of_fold: bool = False) -> DataFrame:
+        """``df`` with a column <name>_te for each categorical column. The tables hold one row per value
+        and fold; they are broadcast when their count allows, else Spark joins by shuffle."""
+        fold = fold_of(self.folds, self.seed) if out_of_fold else F.lit(-1)
+        out = df.withColumn("_fold", fold)
+        default = F.element_at(F.create_map(*[F.lit(x) for kv in self.default.items() for x in kv]), F.col("_fold"))
+        for c in CATEGORICAL:
+            known = self.table.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("fold").alias("_f"), F.col("encoded").alias("_e"))
+            out = (out.join(bounded_broadcast(known), (F.col(c).cast("string") == F.col("_v")) & (F.col("_fold") == F.col("_f")), "left")
+                   .withColumn(f"{c}_te", F.coalesce("_e", default)).drop("_v", "_f", "_e"))
+        return out.drop("_fold")
+
+
+def fit_encoding(train: DataFrame, folds: int = FOLDS, smoothing: float = 10.0, seed: int = 42) -> TargetEncoding:
+    """One map-side aggregation of the train rows gives all four columns; what follows works on its result."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in CATEGORICAL]))
+    own = cut_lineage(train.select(fold_of(folds, seed).alias("fold"), F.col(LABEL).alias("y"), cells.alias("cell"))
+                      .groupBy("cell.column", "cell.value", "fold").agg(F.sum("y").alias("s"), F.count("y").alias("n")))
+    per_fold = own.where(F.col("column") == CATEGORICAL[0]).groupBy("fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+    s, n = sum(r["s"] for r in per_fold), sum(r["n"] for r in per_fold)
+    rest = {r["fold"]: (s - r["s"], n - r["n"]) for r in per_fold}
+    default = {-1: s / n if n else 0.0} | {f: (rest[f][0] / rest[f][1] if f in rest and rest[f][1] else s / n if n else 0.0) for f in range(folds)}
+    whole = own.groupBy("column", "value").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    others = own.select("column", "value", "fold", F.col("s").alias("own_s"), F.col("n").alias("own_n")).join(whole, ["column", "value"]).select(
+        "column", "value", "fold", (F.col("s") - F.col("own_s")).alias("s"), (F.col("n") - F.col("own_n")).alias("n"))
+    mean = F.element_at(F.create_map(*[F.lit(x) for kv in default.items() for x in kv]), F.col("fold"))
+    table = (whole.withColumn("fold", F.lit(-1)).select("column", "value", "fold", "s", "n").unionByName(others)
+             .select("column", "value", "fold", ((F.col("s") + smoothing * mean) / (F.col("n") + smoothing)).alias("encoded")))
+    return TargetEncoding(cut_lineage(table), default, folds, seed)
+
+
+@dataclass
+class DelayModel:
+    """The encoding and the fitted trees."""
+
+    encoding: TargetEncoding
+    trees: PipelineModel
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.trees.transform(self.encoding.encode(df))
 
 
 def fit_delay_model(train: DataFrame, validation: DataFrame | None = None, max_iter: int = 50,
-                    max_depth: int = 6, step: float = 0.1, seed: int = 42) -> PipelineModel:
-    """M3+M4: encode and fit. The encoders see ``train`` only, so no label of another row
-    enters an encoding. With ``validation`` rows, boosting stops when their error stops
+                    max_depth: int = 6, step: float = 0.1, seed: int = 42) -> DelayModel:
+    """M3+M4: encode and fit. The encoding sees ``train`` only and gives its rows out-of-fold means, so
+    no row's features hold its own label. With ``validation`` rows, boosting stops when their error stops
     improving (the reference early-stops on its eval set); pass a hash split of the train
     rows, never the rows that the metrics are taken from."""
-    encoders = _encoders().fit(train)
-    data = train.withColumn("is_validation", F.lit(False))
+    encoding = fit_encoding(train, seed=seed)
+    data = encoding.encode(train, out_of_fold=True).withColumn("is_validation", F.lit(False))
     if validation is not None:
-        data = data.unionByName(validation.withColumn("is_validation", F.lit(True)))
+        data = data.unionByName(encoding.encode(validation).withColumn("is_validation", F.lit(True)))
+    features = VectorAssembler(inputCols=[f"{c}_te" for c in CATEGORICAL] + NUMERIC, outputCol="features", handleInvalid="keep")
     trees = GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth,
-                         stepSize=step, seed=seed, lossType="absolute", validationIndicatorCol="is_validation",
-                         validationTol=0.0)
-    return PipelineModel(stages=[*encoders.stages, trees.fit(encoders.transform(data))])
+                         stepSize=step, seed=seed, lossType="absolute", validationTol=0.0)
+    if validation is not None:
+        trees.setValidationIndicatorCol("is_validation")
+    return DelayModel(encoding, PipelineModel(stages=[features, trees.fit(features.transform(data))]))
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score(model: DelayModel, df: DataFrame) -> DataFrame:
     """M7: (flight_id, real, estimate, residual)."""
     if "is_validation" not in df.columns:
         df = df.withColumn("is_validation", F.lit(False))
@@ -126,10 +179,16 @@ def route_mean_scores(train: DataFrame, test: DataFrame) -> DataFrame:
                     F.coalesce(F.col("_route_mean"), F.lit(overall).cast("double")).alias("estimate"))
 
 
-def save(model: PipelineModel, path: str) -> None:
-    """M7: save (overwrite)."""
-    model.write().overwrite().save(path)
+def save(model: DelayModel, path: str) -> None:
+    """M7: save (overwrite): the trees, the encoding's table and its overall means."""
+    spark = model.encoding.table.sparkSession
+    model.trees.write().overwrite().save(f"{path}/trees")
+    model.encoding.table.write.mode("overwrite").parquet(f"{path}/encoding")
+    spark.createDataFrame([(f, m, model.encoding.folds, model.encoding.seed) for f, m in model.encoding.default.items()],
+                          "fold int, mean double, folds int, seed int").write.mode("overwrite").parquet(f"{path}/means")
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(spark: SparkSession, path: str) -> DelayModel:
+    means = spark.read.parquet(f"{path}/means").collect()
+    encoding = TargetEncoding(spark.read.parquet(f"{path}/encoding"), {r["fold"]: r["mean"] for r in means}, means[0]["folds"], means[0]["seed"])
+    return DelayModel(encoding, PipelineModel.load(f"{path}/trees"))

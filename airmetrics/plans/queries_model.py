@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
 
 from airmetrics.plans import delay_model as dm
 from airmetrics.plans.catalog import flights, register
@@ -41,6 +42,35 @@ def q_train_test_split(spark, sf_dir):
     return dm.training_frame(flights(spark, sf_dir)).select("flight_id", dm.split_flag().alias("is_test"))
 
 
+def _encoding_sql() -> str:
+    """Out-of-fold means by window sums: those of the value less those of the value within the row's fold."""
+    def column(c):
+        seen = f"sum(arr_delay) FILTER (NOT is_test) OVER (PARTITION BY {c}), count(*) FILTER (NOT is_test) OVER (PARTITION BY {c})"
+        own = (f"sum(arr_delay) FILTER (NOT is_test) OVER (PARTITION BY {c}, fold), "
+               f"count(*) FILTER (NOT is_test) OVER (PARTITION BY {c}, fold)")
+        (s, n), (os, on) = [x.split(", count") for x in (seen, own)]
+        n, on = "count" + n, "count" + on
+        rest = f"coalesce({s}, 0) - CASE WHEN is_test THEN 0 ELSE coalesce({os}, 0) END"
+        left = f"{n} - CASE WHEN is_test THEN 0 ELSE {on} END"
+        return f"round(({rest} + 10.0 * mean) / ({left} + 10.0), 6) AS {c}_te"
+    return ("SELECT flight_id, is_test, " + ", ".join(column(c) for c in dm.CATEGORICAL) + " FROM withmean")
+
+
+@register("target_encoding", with_base(_encoding_sql(), MODEL_CTES + """,
+folded AS (SELECT *, (strpos('0123456789abcdef', substr(md5(CAST(flight_id AS VARCHAR) || ':fold42'), 1, 1)) - 1) % 8 AS fold FROM sp),
+withmean AS (
+  SELECT *, CASE WHEN is_test THEN sum(arr_delay) FILTER (NOT is_test) OVER () / count(*) FILTER (NOT is_test) OVER ()
+    ELSE (sum(arr_delay) FILTER (NOT is_test) OVER () - sum(arr_delay) FILTER (NOT is_test) OVER (PARTITION BY fold))
+       / (count(*) FILTER (NOT is_test) OVER () - count(*) FILTER (NOT is_test) OVER (PARTITION BY fold)) END AS mean
+  FROM folded)"""))
+def q_target_encoding(spark, sf_dir):
+    train, test = _frames(spark, sf_dir)
+    encoding = dm.fit_encoding(train)
+    both = encoding.encode(train, out_of_fold=True).withColumn("is_test", F.lit(False)).unionByName(
+        encoding.encode(test).withColumn("is_test", F.lit(True)))
+    return both.select("flight_id", "is_test", *[F.round(f"{c}_te", 6).alias(f"{c}_te") for c in dm.CATEGORICAL])
+
+
 @register("regression_metrics", with_base("""
 SELECT count(*) AS n, round(avg(abs(real - estimate)), 9) AS mae,
        round(sqrt(avg((real - estimate) * (real - estimate))), 9) AS rmse,
@@ -77,7 +107,7 @@ def q_delay_model_metrics(spark, sf_dir):
 def q_delay_model_scores(spark, sf_dir):
     train, test = _frames(spark, sf_dir)
     fit_rows, stop_rows = dm.split(train, seed=7)
-    model = dm.fit_delay_model(fit_rows, validation=stop_rows, max_iter=20)
+    model = dm.fit_delay_model(fit_rows, validation=stop_rows)
     path = scratch_path(spark, f"delay-model-{uuid.uuid4().hex}")
     dm.save(model, path)
-    return dm.score(dm.load(path), test)
+    return dm.score(dm.load(spark, path), test)

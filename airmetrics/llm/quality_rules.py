@@ -127,13 +127,14 @@ def measures(docs: DataFrame, n_common: int = 40, common_share: float = 0.05, id
     listed = listed if 0 < len(listed) <= MAX_LISTED else None
     rows = (docs.select(docs[id_col].alias("id"), _lang(docs, lang_col), text_of(docs, text_col).alias("text"))
             .join(bounded_broadcast(common), "lang", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>"))))
-    words, blanks, symbols = words_of(text), _chars(text, BLANK), _chars(text, SYMBOLS)
-    counts = [_chars(text, "[a-z]+"), _chars(text, "[A-Z]+"), _chars(text, "[0-9]+"), blanks, symbols, _chars(text, r"[^\x00-\x7F]+")]
+    # what several measures use stands in a projection of its own, so that Spark computes it once
+    rows = rows.select("id", "lang", "common", "text", words_of(text).alias("words"), words_of(F.lower(text)).alias("low"),
+                       _chars(text, BLANK).alias("n_blanks"), _chars(text, SYMBOLS).alias("n_symbols"), F.length(text).cast("long").alias("n_chars"))
+    counts = [_chars(text, "[a-z]+"), _chars(text, "[A-Z]+"), _chars(text, "[0-9]+"), F.col("n_blanks"), F.col("n_symbols"), _chars(text, r"[^\x00-\x7F]+")]
     known = rows.select(
-        "id", "lang", F.size(words).cast("long").alias("n_words"), (F.length(text) - blanks).cast("long").alias("word_chars"), symbols.alias("n_symbols"),
-        repeated_lines(text).alias("n_dup_lines"), repeated_words(words).alias("n_repeat_words"),
-        F.array(*counts).alias("c"), F.length(text).cast("long").alias("n_chars"),
-        F.coalesce(_runs(words_of(F.lower(text)), F.col("common"), listed), F.array().cast("array<struct<k:int,n:bigint>>")).alias("runs"))
+        "id", "lang", F.size("words").cast("long").alias("n_words"), (F.col("n_chars") - F.col("n_blanks")).alias("word_chars"), "n_symbols",
+        repeated_lines(text).alias("n_dup_lines"), repeated_words(F.col("words")).alias("n_repeat_words"), F.array(*counts).alias("c"), "n_chars",
+        F.coalesce(_runs(F.col("low"), F.col("common"), listed), F.array().cast("array<struct<k:int,n:bigint>>")).alias("runs"))
     rest = F.col("n_chars") - F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return stored(known.select("id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),

@@ -15,7 +15,7 @@ from airmetrics.plans.catalog import airports, flights, register
 from airmetrics.plans.oracle_sql import with_base
 from airmetrics.schemas import FLIGHT_COLUMNS, SOURCE_TO_CANONICAL
 from airmetrics.session import cut_lineage, scratch_path
-from airmetrics.sources import files
+from airmetrics.sources import files, ledger
 from airmetrics.sources import fixtures as fx
 from airmetrics.sources import tables as tbl
 
@@ -204,6 +204,47 @@ def q_incremental_loads(spark, sf_dir):
     return valid.union(spark.read.parquet(rejected_path).select(*_NO_KEY, "error"))
 
 
+_DELIVERIES = [("a.csv", "fl_date < DATE '1993-01-01'"), ("b.csv", "fl_date >= DATE '1994-01-01' AND fl_date < DATE '1996-01-01'"),
+               ("c.csv", "fl_date >= DATE '1996-01-01' AND fl_date < DATE '1997-01-01'"),
+               ("a.csv", "fl_date < DATE '1994-01-01' OR fl_date IS NULL"), ("d.csv", "fl_date >= DATE '1997-01-01'")]
+
+
+def _five_loads(spark, sf_dir) -> str:
+    """Five deliveries; the fourth is the first one again, with further rows."""
+    source = flights(spark, sf_dir).select(*_NO_KEY)
+    path = _fresh(spark, "ledger")
+    for name, rows in _DELIVERIES:
+        ledger.load(source.where(rows), name, path)
+    return path
+
+
+@register("ledger_loads", with_base(f"""
+SELECT {", ".join(_NO_KEY)}, CASE WHEN fl_date IS NULL THEN 'fl_date missing or unparseable'
+       WHEN op_carrier IS NULL THEN 'op_carrier missing'
+       WHEN origin_airport_id IS NULL OR dest_airport_id IS NULL THEN 'airport id missing'
+       WHEN crs_dep_time IS NULL THEN 'crs_dep_time missing or invalid' END AS error
+FROM flights"""))
+def q_ledger_loads(spark, sf_dir):
+    """After five loads every record is stored exactly once, as valid or with its error."""
+    path = _five_loads(spark, sf_dir)
+    return ledger.loaded(spark, path, flights(spark, sf_dir).select(*_NO_KEY).schema).select(*_NO_KEY, "error")
+
+
+@register("load_ledger", with_base("""
+SELECT CAST(load_id AS BIGINT) AS load_id, source, count(*) FILTER (read) AS n_read, count(*) FILTER (read AND known) AS n_compared,
+       count(*) FILTER (read AND NOT known) AS n_new, count(*) FILTER (read AND NOT known AND valid) AS n_valid,
+       count(*) FILTER (read AND NOT known AND NOT valid) AS n_rejected
+FROM (SELECT *, fl_date IS NOT NULL AND op_carrier IS NOT NULL AND origin_airport_id IS NOT NULL AND dest_airport_id IS NOT NULL
+             AND crs_dep_time IS NOT NULL AS valid FROM flights) f,
+     LATERAL (VALUES """ + ", ".join(
+    f"({i + 1}, '{name}', coalesce({rows}, false), " + (f"coalesce({_DELIVERIES[0][1]}, false)" if i == 3 else "false") + ")"
+    for i, (name, rows) in enumerate(_DELIVERIES)) + """) d(load_id, source, read, known)
+GROUP BY load_id, source"""))
+def q_load_ledger(spark, sf_dir):
+    """What each load read, compared and took."""
+    return ledger.ledger(spark, _five_loads(spark, sf_dir))
+
+
 @register("unique_flight_ids", with_base("""
 SELECT count(*) AS n_rows, count(*) AS n_ids, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id FROM flights
 WHERE fl_date IS NOT NULL AND op_carrier IS NOT NULL AND origin_airport_id IS NOT NULL

@@ -46,8 +46,9 @@ KEY_WORDS = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key
 ASSIGNED = KEY_WORDS + r"[A-Za-z0-9_\-]*[\"']?\s*(?::=|[:=])\s*[\"']?$"
 LINK_USER = r"://[^\s:/@]*:"
 ASSIGN = (rf"(?:{KEY_WORDS}" r"[A-Za-z0-9_\-]*[\"']?\s*(?::=|[:=])\s*(?:(?:bearer|basic)\s+)?[\"']?)")
+# an unquoted value runs to the last character of its token that is no closing punctuation: one pass, however long it is
 # groups: 1 and 5 stand before the candidate, the others are it
-PLACED = (rf"(?:({ASSIGN})(?!-----BEGIN|\w+://)" r"(?:(?<=\")([^\"\n]++)(?=\")|(?<=')([^'\n]++)(?=')|([^\s\"']\S*?)(?=[.,;:)\]}>\"']*(?:\s|$))))"
+PLACED = (rf"(?:({ASSIGN})(?!-----BEGIN|\w+://)" r"(?:(?<=\")([^\"\n]++)(?=\")|(?<=')([^'\n]++)(?=')|([^\s\"'](?:\S*[^\s.,;:)\]}>\"'])?)))"
           rf"|({LINK_USER})([^\s/@]+)(?=@)"
           rf"|({PEM}" r"(?:[A-Za-z0-9+/=\s:,\\]*+(?:-(?!----)[A-Za-z0-9+/=\s:,\\]*+)*+-----END [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----|(?:\s+[A-Za-z0-9+/=]{20,}+)*+))"
           r"|(?<![A-Za-z0-9+/_\-])(" + "|".join(f"(?:{p[1:-1]})" for p in STRICT) + r")(?![A-Za-z0-9+/_\-])")

@@ -335,6 +335,24 @@ def test_secrets_of_any_shape_are_candidates(spark):
     assert clean[200] == "we were: password=[SECRET] and we"
 
 
+def test_assigned_values_end_before_closing_punctuation(spark):
+    rng = random.Random(12)
+    tokens = ["".join(rng.choice("ab1.,;:)]}>\"'") for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    tokens = [t for t in tokens if t[0] not in "\"'" and "://" not in t]
+    docs = spark.createDataFrame([(i, f"x password={t} y") for i, t in enumerate(tokens)], "doc_id long, text string")
+    got = {r["id"]: r["candidate"] for r in secrets_scan.candidates(docs).collect()}
+    assert got == {i: t[0] + t[1:].rstrip(".,;:)]}>\"'") for i, t in enumerate(tokens)}
+
+
+def test_long_runs_of_punctuation_cost_one_pass(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "password=" + ")" * 300_000), (2, "password=" + "a)" * 150_000 + " end")], "doc_id long, text string")
+    at = time.time()
+    found = {r["id"]: len(r["candidate"]) for r in secrets_scan.candidates(docs).collect()}
+    assert found == {1: 1, 2: 299_999} and time.time() - at < 60
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 

@@ -172,7 +172,9 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
          id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """Every candidate: id, candidate, before, after, score, is_secret. ``labelled``: findings with the feature
     columns and ``label`` (see ``with_features``); made from the candidates themselves where none are given."""
-    found = stored(with_features(candidates(docs, id_col, text_col, path_col), docs, least_docs, text_col), "secret-candidates")
+    # the features read the candidates three times: written first, the two searches of all texts run once
+    spots = stored(candidates(docs, id_col, text_col, path_col), "secret-spots")
+    found = stored(with_features(spots, docs, least_docs, text_col), "secret-candidates")
     forest = fit(labelled if labelled is not None else labelled_findings(found), max_rows)
     if forest is None:
         score = _strict().cast("double")

@@ -104,9 +104,12 @@ def hour_of_day(col: Column | str) -> Column:
     return F.floor(_c(col) / 3600).cast("int")
 
 
-def parse_iso_date(col: Column | str) -> Column:
-    """C4: strict yyyy-MM-dd. Under ANSI mode a bad value fails the job."""
-    return F.to_date(_c(col), "yyyy-MM-dd")
+def parse_iso_date(col: Column | str, fail: bool = True) -> Column:
+    """C4: strict yyyy-MM-dd. Under ANSI mode a bad value fails the job; with ``fail=False``
+    it is null, and so is a date of any other layout."""
+    if fail:
+        return F.to_date(_c(col), "yyyy-MM-dd")
+    return F.when(_c(col).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(_c(col), "yyyy-MM-dd"))
 
 
 def date_text(col: Column | str) -> Column:

@@ -65,12 +65,11 @@ def q_canonical_columns(spark, sf_dir):
 
 
 @register("parse_iso_dates", with_base("""
-SELECT CAST(((ok * 100000 + pk) * 10000 + sk) * 10 + ln AS BIGINT) AS flight_id, CAST(ship AS DATE) AS fl_date
-FROM raw WHERE pk % 97 <> 5 AND ln % 3 = 0""", RAW_CTE))
+SELECT CAST(((ok * 100000 + pk) * 10000 + sk) * 10 + ln AS BIGINT) AS flight_id, CASE WHEN pk % 97 <> 5 AND ln % 3 = 0 THEN CAST(ship AS DATE) END AS fl_date
+FROM raw""", RAW_CTE))
 def q_parse_iso_dates(spark, sf_dir):
     from airmetrics.functions.clean import parse_iso_date
-    raw = _raw(spark, sf_dir).where(F.col("FL_DATE").rlike(r"^\d{4}-\d{2}-\d{2}$"))
-    return raw.select(F.col("FLIGHT_ID").alias("flight_id"), parse_iso_date("FL_DATE").alias("fl_date"))
+    return _raw(spark, sf_dir).select(F.col("FLIGHT_ID").alias("flight_id"), parse_iso_date("FL_DATE", fail=False).alias("fl_date"))
 
 
 @register("parse_flight_dates", with_base("""

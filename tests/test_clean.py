@@ -73,3 +73,11 @@ def test_canonical_names_from_source_names(spark):
     assert out.columns == [c.lower() for c in schemas.CANONICAL_COLUMNS]
     with pytest.raises(ValueError):
         canonical_names(df.drop("FlightDate"))
+
+
+def test_strict_iso_dates_of_other_layouts_are_null(spark):
+    from airmetrics.functions.clean import parse_iso_date
+
+    texts = ["2018-03-04", "2018-3-4", "04/03/2018", "20180304", "2018-02-30", "2018-03-04 00:00", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [str(r[0]) if r[0] else None for r in df.select(parse_iso_date("t", fail=False)).collect()] == ["2018-03-04"] + [None] * 7

@@ -108,20 +108,21 @@ def lowess(df: DataFrame, x: str, y: str, frac: float = DEFAULT_FRAC, iterations
     radius = fw.join(small(bw), "x0").select(
         "x0", "c0", F.least(F.col("x0") - F.col("maxl"), F.col("minr") - F.col("x0")).alias("h"))
 
-    # 4. places of the distinct values, and each window as a range of places
-    places = cut_lineage(prefix_scan(grid.select("x"), "x", {"at": ("sum", F.lit(1))}, blocks=blocks)
-                         .select("x", (F.col("at") - 1).alias("at")))
-    ends = radius.select("x0", "c0", "h", (F.col("x0") - F.col("h")).alias("lo"), (F.col("x0") + F.col("h")).alias("hi"))
-    low, high = _places_at(places, ends, "lo", blocks, before=True), _places_at(places, ends, "hi", blocks, before=False)
-    ranges = ends.join(small(low), "x0").join(small(high), "x0").join(small(places.withColumnRenamed("x", "x0")), "x0")
     if stats["g"] <= direct:
-        # so few values: the windows' own values, at most direct^2 rows, cost less than the moments' plan
-        near = ranges.select("x0", "c0", "h", F.explode(F.sequence("lo_at", "hi_at")).alias("at")).join(F.broadcast(places), "at")
+        # so few values: at most direct^2 rows, which cost less than the moments' plan
+        values = F.broadcast(grid.select("x", F.lit(0).alias("one")))
         u = F.abs(F.col("x") - F.col("x0")) / F.col("h")
+        near = radius.withColumn("one", F.lit(0)).join(values, "one").where((F.abs(F.col("x") - F.col("x0")) < F.col("h")) | (F.col("x") == F.col("x0")))
         near = cut_lineage(near.select("x0", "c0", "x", F.when(F.col("h") > 0, (1 - u * u * u) * (1 - u * u * u) * (1 - u * u * u))
-                                       .otherwise((F.col("x") == F.col("x0")).cast("double")).alias("w")))
+                                       .otherwise(1.0).alias("w")))
         fit = lambda grid: _fit_direct(near, grid)
     else:
+        # 4. places of the distinct values, and each window as a range of places
+        places = cut_lineage(prefix_scan(grid.select("x"), "x", {"at": ("sum", F.lit(1))}, blocks=blocks)
+                             .select("x", (F.col("at") - 1).alias("at")))
+        ends = radius.select("x0", "c0", "h", (F.col("x0") - F.col("h")).alias("lo"), (F.col("x0") + F.col("h")).alias("hi"))
+        low, high = _places_at(places, ends, "lo", blocks, before=True), _places_at(places, ends, "hi", blocks, before=False)
+        ranges = ends.join(small(low), "x0").join(small(high), "x0").join(small(places.withColumnRenamed("x", "x0")), "x0")
         windows = cut_lineage(ranges.select("x0", "c0", "h", F.concat(_block_list("lo_at", "at + 1", stats["g"], -1),
                                                                       _block_list("at + 1", "hi_at + 1", stats["g"], 1)).alias("parts")))
         middles = cut_lineage(_in_blocks(places, stats["g"]).groupBy("l", "b").agg(((F.min("x") + F.max("x")) / 2).alias("m")))

@@ -101,9 +101,9 @@ def _placed(src: DataFrame) -> DataFrame:
 def corpus_words(docs: DataFrame, runs: DataFrame, least_docs: int, text_col: str = "text") -> DataFrame:
     """Of the letter runs in ``runs`` (column ``word``), those that stand as words in ``least_docs`` documents or more."""
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_of(docs, text_col)), "[^a-z]+"))).alias("word"))
-    words = words.where(F.length("word") >= 3)
-    return (words.join(runs, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-            .where(F.col("n") >= least_docs).select("word"))
+    # counted before the join: a task sends each of its words once, and the plan is the same at every size
+    counted = words.where(F.length("word") >= 3).groupBy("word").agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") >= least_docs).join(runs, "word", "left_semi").select("word")
 
 
 def _kinds() -> Column:

@@ -3,26 +3,27 @@
 The reference trains a boosted-tree model on one machine. Here: the training
 frame is a filtered projection (M1); the split is a hash of the flight id, so it
 is stable under any partitioning and re-computation (M2); categorical columns
-become out-of-fold means of the label (M3); ``GBTRegressor`` trains with a validation
-indicator for early stopping (M4); metrics, residuals and scores are single
+become out-of-fold means of the label (M3); boosting runs in written stages and stops by patience on
+the validation error (M4, ``boosting``); metrics, residuals and scores are single
 aggregations or projections (M5-M7).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airmetrics.operators.histogram import histogram
 from airmetrics.operators.joins import bounded_broadcast
-from airmetrics.session import cut_lineage
+from airmetrics.plans import boosting
+from airmetrics.session import cut_lineage, scratch_path
 
 CATEGORICAL = ["op_carrier_airline_id", "tail_num", "origin_airport_id", "dest_airport_id"]
 NUMERIC = ["distance", "flights"]
@@ -111,37 +112,49 @@ def fit_encoding(train: DataFrame, folds: int = FOLDS, smoothing: float = 10.0,
 
 @dataclass
 class DelayModel:
-    """The encoding and the fitted trees."""
+    """The encoding, the trees of the best round (on top of the train mean) and the validation error after
+    0, 1, ... rounds (None without validation rows)."""
 
     encoding: TargetEncoding
     trees: PipelineModel
+    history: list[float] = field(default_factory=list)
+
+    @property
+    def best_round(self) -> int:
+        return boosting.best_round(self.history)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.trees.transform(self.encoding.encode(df))
+        return self.trees.transform(self.encoding.encode(df)).withColumn("prediction", F.col("prediction") + self.encoding.default[-1])
 
 
-def fit_delay_model(train: DataFrame, validation: DataFrame | None = None, max_iter: int = 50,
-                    max_depth: int = 6, step: float = 0.1, seed: int = 42) -> DelayModel:
+def fit_delay_model(train: DataFrame, validation: DataFrame | None = None, max_iter: int = 1000, max_depth: int = 6, step: float = 0.1,
+                    seed: int = 42, patience: int = 50, stage: int = 10, path: str | None = None) -> DelayModel:
     """M3+M4: encode and fit. The encoding sees ``train`` only and gives its rows out-of-fold means, so
-    no row's features hold its own label. With ``validation`` rows, boosting stops when their error stops
-    improving (the reference early-stops on its eval set); pass a hash split of the train
-    rows, never the rows that the metrics are taken from."""
-    encoding = fit_encoding(train, seed=seed)
+    no row's features hold its own label. With ``validation`` rows, boosting ends after ``patience`` rounds
+    without a better mean absolute error on them (the reference stops on its eval set); pass a hash split of the train
+    rows, never the rows that the metrics are taken from. With ``path`` a run that died is taken up again
+    by the same call; without it the run's folder is removed at the end."""
+    spark = train.sparkSession
+    place = path or scratch_path(spark, f"boost-{uuid.uuid4().hex}")
+    if path and boosting.exists(spark, f"{place}/means/_SUCCESS"):
+        encoding = load_encoding(spark, place)
+    else:
+        encoding = fit_encoding(train, seed=seed)
+        if path:
+            save_encoding(encoding, place)
     data = encoding.encode(train, out_of_fold=True).withColumn("is_validation", F.lit(False))
     if validation is not None:
         data = data.unionByName(encoding.encode(validation).withColumn("is_validation", F.lit(True)))
     features = VectorAssembler(inputCols=[f"{c}_te" for c in CATEGORICAL] + NUMERIC, outputCol="features", handleInvalid="keep")
-    trees = GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth,
-                         stepSize=step, seed=seed, lossType="absolute", validationTol=0.0)
-    if validation is not None:
-        trees.setValidationIndicatorCol("is_validation")
-    return DelayModel(encoding, PipelineModel(stages=[features, trees.fit(features.transform(data))]))
+    data = features.transform(data.withColumn(boosting.RESIDUAL, F.col(LABEL) - encoding.default[-1]))
+    trees, history = boosting.boost(data, f"{place}/rounds", max_iter, max_depth, step, patience, stage, seed)
+    if not path:
+        boosting.remove(spark, place)
+    return DelayModel(encoding, PipelineModel(stages=[features, trees]), history)
 
 
 def score(model: DelayModel, df: DataFrame) -> DataFrame:
     """M7: (flight_id, real, estimate, residual)."""
-    if "is_validation" not in df.columns:
-        df = df.withColumn("is_validation", F.lit(False))
     s = model.transform(df)
     return s.select("flight_id", F.col(LABEL).alias("real"), F.col("prediction").alias("estimate"),
                     (F.col(LABEL) - F.col("prediction")).alias("residual"))
@@ -179,16 +192,26 @@ def route_mean_scores(train: DataFrame, test: DataFrame) -> DataFrame:
                     F.coalesce(F.col("_route_mean"), F.lit(overall).cast("double")).alias("estimate"))
 
 
+def save_encoding(encoding: TargetEncoding, path: str) -> None:
+    spark = encoding.table.sparkSession
+    encoding.table.write.mode("overwrite").parquet(f"{path}/encoding")
+    spark.createDataFrame([(f, m, encoding.folds, encoding.seed) for f, m in encoding.default.items()],
+                          "fold int, mean double, folds int, seed int").write.mode("overwrite").parquet(f"{path}/means")
+
+
+def load_encoding(spark: SparkSession, path: str) -> TargetEncoding:
+    means = spark.read.parquet(f"{path}/means").collect()
+    return TargetEncoding(spark.read.parquet(f"{path}/encoding"), {r["fold"]: r["mean"] for r in means}, means[0]["folds"], means[0]["seed"])
+
+
 def save(model: DelayModel, path: str) -> None:
-    """M7: save (overwrite): the trees, the encoding's table and its overall means."""
+    """M7: save (overwrite): the trees, the encoding's table, its overall means and the errors by round."""
     spark = model.encoding.table.sparkSession
     model.trees.write().overwrite().save(f"{path}/trees")
-    model.encoding.table.write.mode("overwrite").parquet(f"{path}/encoding")
-    spark.createDataFrame([(f, m, model.encoding.folds, model.encoding.seed) for f, m in model.encoding.default.items()],
-                          "fold int, mean double, folds int, seed int").write.mode("overwrite").parquet(f"{path}/means")
+    save_encoding(model.encoding, path)
+    spark.createDataFrame(list(enumerate(model.history)), "round int, error double").write.mode("overwrite").parquet(f"{path}/history")
 
 
 def load(spark: SparkSession, path: str) -> DelayModel:
-    means = spark.read.parquet(f"{path}/means").collect()
-    encoding = TargetEncoding(spark.read.parquet(f"{path}/encoding"), {r["fold"]: r["mean"] for r in means}, means[0]["folds"], means[0]["seed"])
-    return DelayModel(encoding, PipelineModel.load(f"{path}/trees"))
+    history = [r["error"] for r in spark.read.parquet(f"{path}/history").orderBy("round").collect()]
+    return DelayModel(load_encoding(spark, path), PipelineModel.load(f"{path}/trees"), history)

@@ -100,7 +100,8 @@ def q_delay_model_metrics(spark, sf_dir):
     train, test = _frames(spark, sf_dir)
     fit_rows, stop_rows = dm.split(train, seed=7)
     model = dm.fit_delay_model(fit_rows, validation=stop_rows)
-    return dm.regression_metrics(dm.score(model, test))
+    return (dm.regression_metrics(dm.score(model, test))
+            .withColumn("rounds", F.lit(len(model.history) - 1)).withColumn("best_round", F.lit(model.best_round)))
 
 
 @register("delay_model_scores", None)

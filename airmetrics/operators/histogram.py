@@ -28,9 +28,10 @@ def nice_width(lo: float, hi: float, bins: int) -> float:
     return best
 
 
-def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
-    """-> (bin_start, bin_end, n) for the non-null values of ``col``."""
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+def histogram(df: DataFrame, col: str, bins: int = 50, weight: str | None = None) -> DataFrame:
+    """-> (bin_start, bin_end, n) for the non-null values of ``col``; ``weight``: how many rows each row stands for."""
+    count = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    vals = df.select(F.col(col).cast("double").alias("v"), count.alias("w")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     bounds = vals.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     if bounds is None or bounds["lo"] is None:
         return vals.select(F.lit(0.0).alias("bin_start"), F.lit(0.0).alias("bin_end"),
@@ -38,6 +39,6 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     w = nice_width(bounds["lo"], bounds["hi"], bins)
     start = (F.floor(F.col("v") / F.lit(w)).cast("double") * F.lit(w))
     return (vals.groupBy(start.alias("bin_start"))
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg((F.sum("w") if weight else F.count(F.lit(1))).alias("n"))
             .select("bin_start", (F.col("bin_start") + F.lit(w)).alias("bin_end"), "n")
             .orderBy("bin_start"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airmetrics.operators import charts as ch
@@ -11,11 +14,12 @@ from airmetrics.operators import modelling as mdl
 from airmetrics.operators.joins import flights_with_airports
 from airmetrics.operators.lowess import lowess
 from airmetrics.plans import dashboard as dash
+from airmetrics.plans import day_charts
 from airmetrics.plans.catalog import airports, flights, register
 from airmetrics.plans.oracle_sql import with_base
 from airmetrics.schemas import FLIGHT_COLUMNS, SOURCE_TO_CANONICAL
 from airmetrics.session import cut_lineage, scratch_path
-from airmetrics.sources import files, ledger
+from airmetrics.sources import buckets, files, ledger
 from airmetrics.sources import fixtures as fx
 from airmetrics.sources import tables as tbl
 
@@ -142,6 +146,21 @@ def q_upsert_airports_twice(spark, sf_dir):
     return tbl.upsert(once, u, ["airport_id", "airport_seq_id"])
 
 
+@register("upsert_flights_buckets", with_base("""
+SELECT flight_id, op_carrier, fl_date, distance + CASE WHEN flight_id % 50 = 0 THEN 1 ELSE 0 END AS distance FROM flights
+UNION ALL SELECT -flight_id, op_carrier, fl_date, distance FROM flights WHERE flight_id % 70 = 0"""))
+def q_upsert_flights_buckets(spark, sf_dir):
+    """Changed and new flights put twice into a bucketed table."""
+    rows = flights(spark, sf_dir).select("flight_id", "op_carrier", "fl_date", "distance")
+    updates = rows.where("flight_id % 50 = 0").withColumn("distance", F.col("distance") + 1).unionByName(
+        rows.where("flight_id % 70 = 0").withColumn("flight_id", -F.col("flight_id")))
+    path = _fresh(spark, "flight-buckets")
+    buckets.create(rows, path, ["flight_id"], 16)
+    for _ in range(2):
+        buckets.upsert(updates, path, rows.schema, ["flight_id"])
+    return buckets.table(spark, path, rows.schema)
+
+
 # The previous load stopped at the middle of the key range.
 HIGH_WATER_CTE = "hw AS (SELECT min(flight_id) + (max(flight_id) - min(flight_id)) // 2 AS m FROM flights)"
 
@@ -304,3 +323,67 @@ def q_dashboard_filtered_counts(spark, sf_dir):
     d = dash.dashboard(flights(spark, sf_dir), airports(spark, sf_dir), airlines=["Brand#1", "Brand#2", "Brand#3"],
                        airport="10003", cache=False, with_lowess=False)
     return d.builders["flight_counts"]()
+
+
+def _top(name: str, key: str, value: str, where: str = "true", source: str = "wf", limit: bool = True) -> str:
+    return (f"SELECT * FROM (SELECT '{name}' AS chart, CAST({key} AS VARCHAR) AS key, CAST({value} AS DOUBLE) AS value FROM {source} "
+            f"WHERE {where} GROUP BY {key} HAVING {value} IS NOT NULL" + (f" ORDER BY {value} DESC, 2 LIMIT 10)" if limit else ")"))
+
+
+_ROUTE = "CAST(origin_airport_id AS VARCHAR) || ' → ' || CAST(dest_airport_id AS VARCHAR)"
+_DAY_CHARTS = [
+    _top("flight_counts", "op_carrier", "count(*)", "op_carrier IS NOT NULL"),
+    _top("cancelled_flights", "op_carrier", "count(*)", "cancelled AND op_carrier IS NOT NULL"),
+    _top("airtime_by_route", _ROUTE, "avg(air_time)", "air_time IS NOT NULL AND origin_airport_id IS NOT NULL AND dest_airport_id IS NOT NULL"),
+    _top("flights_by_date", "fl_date", "count(*)", limit=False),
+    _top("delay_by_hour", "CAST(floor(crs_dep_time / 3600) AS INTEGER)", "avg(arr_delay)", "crs_dep_time IS NOT NULL", limit=False),
+    _top("delay_by_airline", "op_carrier", "avg(arr_delay)", "op_carrier IS NOT NULL"),
+    _top("cancellation_rate", "op_carrier", "nullif(100.0 * count(*) FILTER (cancelled) / count(*), 0)", "op_carrier IS NOT NULL"),
+    _top("most_common_routes", _ROUTE, "count(*)", "origin_airport_id IS NOT NULL AND dest_airport_id IS NOT NULL"),
+    _top("delay_by_weekday", "dayname(fl_date)", "avg(arr_delay)", "arr_delay IS NOT NULL", limit=False),
+    _top("monthly_delay_trend", "monthname(fl_date)", "avg(arr_delay)", "arr_delay IS NOT NULL", limit=False),
+    _top("most_diverted_airports", "dest_airport_id", "count(*)", "diverted AND dest_airport_id IS NOT NULL"),
+    _top("delay_by_airport", "origin_airport_id", "avg(arr_delay)", "origin_airport_id IS NOT NULL"),
+    _top("delay_by_state", "state_name", "avg(arr_delay)", "state_name IS NOT NULL", "wf JOIN airports1 ON origin_airport_id = airport_id"),
+    _top("arrival_delay_histogram", "CAST(floor(arr_delay / w) * w AS BIGINT)", "count(*)", "arr_delay IS NOT NULL", "wf, wd", limit=False),
+    _top("distance_airtime_points", "CAST(CAST(distance AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(air_time AS BIGINT) AS VARCHAR)", "count(*)",
+         "distance IS NOT NULL AND air_time IS NOT NULL", limit=False),
+]
+_DAY_KEYS = {"airtime_by_route": "route", "flights_by_date": "fl_date", "delay_by_hour": "hour", "most_common_routes": "route",
+             "delay_by_weekday": "weekday", "monthly_delay_trend": "month", "most_diverted_airports": "dest_airport_id",
+             "delay_by_airport": "origin_airport_id", "delay_by_state": "state_name"}
+
+
+def long_charts(found: dict) -> DataFrame:
+    """All charts (without the facets) as rows chart, key, value."""
+    out = []
+    for name, rows in found.items():
+        if name == "facets":
+            continue
+        key = F.col(_DAY_KEYS.get(name, "op_carrier")) if name not in ("arrival_delay_histogram", "distance_airtime_points") else None
+        if name == "arrival_delay_histogram":
+            key = F.col("bin_start").cast("long")
+        elif name == "distance_airtime_points":
+            key = F.concat_ws(" ", F.col("distance").cast("long"), F.col("air_time").cast("long"))
+        value = next(c for c in rows.columns if c in ("flights", "cancelled_count", "avg_air_time", "n_flights", "avg_delay", "avg_arr_delay",
+                                                      "cancel_rate_pct", "diverted_count", "arr_delay", "mean_delay", "n"))
+        out.append(rows.select(F.lit(name).alias("chart"), key.cast("string").alias("key"), F.col(value).cast("double").alias("value")))
+    return reduce(DataFrame.union, out)
+
+
+@register("day_charts_after_loads", with_base(" UNION ALL ".join(_DAY_CHARTS), """
+win AS (SELECT max(fl_date) - INTERVAL 500 DAY AS s, max(fl_date) - INTERVAL 100 DAY AS e FROM flights),
+wf AS (SELECT f.* FROM flights f, win WHERE fl_date BETWEEN CAST(win.s AS DATE) AND CAST(win.e AS DATE)),
+bounds AS (SELECT min(arr_delay) AS lo, max(arr_delay) AS hi FROM wf),
+cand AS (SELECT lo, hi, (hi - lo) / 49.0 AS t, floor(log10((hi - lo) / 49.0)) AS k FROM bounds WHERE hi > lo),
+wd AS (SELECT coalesce((SELECT min(m * pow(10.0, k + e)) FROM cand, (VALUES (1.0), (2.0), (5.0)) ms(m), (VALUES (-1), (0), (1)) es(e)
+                        WHERE m * pow(10.0, k + e) >= t), 1.0) AS w)"""))
+def q_day_charts_after_loads(spark, sf_dir):
+    """Day sums of a first load, then of a second one, merged to the charts of a window of 400 days."""
+    path, rows = _fresh(spark, "day-charts"), flights(spark, sf_dir)
+    day_charts.add(rows.where("flight_id % 3 <> 0"), path, "load-1")
+    day_charts.add(rows.where("flight_id % 3 = 0"), path, "load-2")
+    columns = day_charts.schema(rows)
+    last = day_charts.bounds(spark, path, columns)[1]
+    start, end = (last - dt.timedelta(days=n) for n in (500, 100))
+    return long_charts(day_charts.charts(spark, path, airports(spark, sf_dir), columns, "load-2", start, end))

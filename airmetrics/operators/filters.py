@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airmetrics.functions.clean import route_label, seconds_to_hhmmss
+from airmetrics.operators import paging
 from airmetrics.schemas import CLOCK_COLUMNS
 
 
@@ -184,24 +185,24 @@ def flight_projection(df: DataFrame) -> DataFrame:
                        for c in df.columns if c != "fl_month"])
 
 
-DEEP_PAGE_ROWS = 100_000  # beyond this offset, pages come from a distributed rank
+DEEP_PAGE_ROWS = 10_000  # beyond this offset, pages are cut from the range of keys that holds them
 
 
 def page(df: DataFrame, key: str | list[str] = "flight_id", page_no: int = 1, size: int = 50) -> DataFrame:
-    """page >= 1, 1 <= size <= 1000; rows ordered by key (stable pages).
+    """page >= 1, 1 <= size <= 1000; rows ordered by the key or keys, ties by the other columns (stable pages).
 
-    Shallow pages are ``orderBy(key).offset(k).limit(n)`` (a per-partition top
+    Shallow pages are ``orderBy(...).offset(k).limit(n)`` (a per-partition top
     k+n, merged). Deep pages would make that top-k grow with the offset, so past
-    ``DEEP_PAGE_ROWS`` rows the page is cut from global row numbers computed by a
-    distributed running count (one numeric key, unique) and a range filter.
+    ``DEEP_PAGE_ROWS`` rows the range of keys around the page is found first (``paging.page_at``, any
+    keys) and only its rows are sorted. Both give the same rows.
     """
     if page_no < 1 or not 1 <= size <= 1000:
         raise ValueError("page must be >= 1 and 1 <= size <= 1000")
-    keys = [key] if isinstance(key, str) else key
+    keys = [key] if isinstance(key, str) else list(key)
     off = (page_no - 1) * size
-    if off + size > DEEP_PAGE_ROWS and len(keys) == 1:
-        return page_by_rank(df, keys[0], off, size)
-    ordered = df.orderBy(*keys)
+    if off + size > DEEP_PAGE_ROWS:
+        return paging.page_at(df, keys, off, size)
+    ordered = df.orderBy(*[F.col(f"`{c}`") for c in paging.total_order(df, keys)])
     return (ordered.offset(off) if off else ordered).limit(size)
 
 
@@ -216,11 +217,14 @@ def page_by_rank(df: DataFrame, key: str, offset: int, size: int) -> DataFrame:
             .drop("_one", "_rank").orderBy(key))
 
 
-def page_after(df: DataFrame, key: str, last_key, size: int = 50) -> DataFrame:
-    """F10 keyset form for deep pages: rows with key > last_key, first ``size``.
-    The predicate is pushed to the scan; cost does not grow with the page number."""
-    out = df if last_key is None else df.where(F.col(key) > F.lit(last_key))
-    return out.orderBy(key).limit(size)
+def page_after(df: DataFrame, key: str | list[str], last_key, size: int = 50) -> DataFrame:
+    """F10 keyset form for deep pages: rows whose key (or keys) come after ``last_key`` (a value, or
+    one per key), first ``size``. The first key's bound is pushed to the scan; cost does not grow with the page number.
+    The keys must be unique: rows that share the last key with the page before are passed over."""
+    keys = [key] if isinstance(key, str) else list(key)
+    last = None if last_key is None else (last_key,) if isinstance(key, str) else tuple(last_key)
+    out = df if last is None else df.where(paging.after(df, keys, last))
+    return out.orderBy(*[F.col(f"`{k}`") for k in keys]).limit(size)
 
 
 def flights_of_airline(df: DataFrame, airline_id: int | None) -> DataFrame:

@@ -10,6 +10,7 @@ from airmetrics.operators import profile as prof
 from airmetrics.plans.catalog import airports, flights, register
 from airmetrics.plans.oracle_sql import clock_sql, with_base
 from airmetrics.schemas import FLIGHT_COLUMNS
+from airmetrics.session import cut_lineage
 from airmetrics.sources import fixtures as fx
 
 # ----------------------------------------------------------------------------- raw oracle pieces
@@ -320,6 +321,20 @@ def q_page_flights(spark, sf_dir):
     return flt.page(flt.flight_projection(flights(spark, sf_dir)), "flight_id", page_no=3, size=50)
 
 
+_DEEP = """
+SELECT flight_id, op_carrier, tail_num, fl_date FROM (
+  SELECT *, row_number() OVER (ORDER BY op_carrier NULLS FIRST, fl_date NULLS FIRST, tail_num NULLS FIRST, flight_id) AS r,
+         count(*) OVER () AS n FROM flights)
+WHERE r > n * 9 // 10 // 100 * 100 AND r <= n * 9 // 10 // 100 * 100 + 100"""
+
+
+@register("page_flights_deep", with_base(_DEEP))
+def q_page_flights_deep(spark, sf_dir):
+    """a page at nine tenths of the table in the order of carrier, day and tail number, which repeat."""
+    rows = cut_lineage(flights(spark, sf_dir).select("op_carrier", "fl_date", "tail_num", "flight_id"))
+    return flt.page(rows, ["op_carrier", "fl_date", "tail_num"], rows.count() * 9 // 10 // 100 + 1, 100)
+
+
 @register("page_flights_by_airline", _projection_sql("WHERE op_carrier_airline_id = 19001",
                                                      "ORDER BY flight_id LIMIT 20 OFFSET 20"))
 def q_page_flights_by_airline(spark, sf_dir):

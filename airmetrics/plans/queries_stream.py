@@ -10,6 +10,7 @@ from airmetrics import schemas
 from airmetrics.plans.catalog import register
 from airmetrics.session import scratch_path
 from airmetrics.sources import fixtures as fx
+from airmetrics.streaming import live
 from airmetrics.streaming import positions as pos
 
 EVENT_CTES = """
@@ -169,3 +170,55 @@ SELECT icao24, last_contact, latitude, longitude FROM (
   FROM flat) t WHERE rn = 1"""))
 def q_latest_positions(spark, sf_dir):
     return pos.latest_positions(flat(spark, sf_dir))
+
+
+def _live(spark, sf_dir, start):
+    """The replay in four triggers, the last two after a restart; returns the table's path."""
+    base = scratch_path(spark, f"live-{uuid.uuid4().hex}")
+    rows = messages(spark, sf_dir)
+    for half in (0, 1):
+        rows.where(F.col("seq") % 2 == half).drop("seq").repartition(2).write.mode("append").json(f"{base}/in")
+        stream = pos.read_message_stream(spark, f"{base}/in", max_files=1)
+        start(pos.flatten_positions(pos.valid_positions(stream)), f"{base}/table", f"{base}/state", {"availableNow": True}).awaitTermination()
+    return f"{base}/table"
+
+
+@register("live_counts", ev_sql("SELECT origin_country, count(*) AS count FROM flat GROUP BY origin_country"))
+def q_live_counts(spark, sf_dir):
+    """T6 as a table that the stream keeps up to date."""
+    return live.live_counts(spark, _live(spark, sf_dir, live.start_live_counts))
+
+
+@register("live_positions", ev_sql("""
+SELECT icao24, last_contact, latitude, longitude FROM (
+  SELECT *, row_number() OVER (PARTITION BY icao24 ORDER BY last_contact DESC, longitude DESC, latitude DESC) AS rn
+  FROM flat WHERE icao24 IS NOT NULL) t WHERE rn = 1"""))
+def q_live_positions(spark, sf_dir):
+    """T7 as a table that the stream keeps up to date."""
+    return live.live_positions(spark, _live(spark, sf_dir, live.start_live_positions))
+
+
+@register("stream_enriched", ev_sql("""
+, lists AS (
+  SELECT * FROM (
+    SELECT k, 'a' || CAST(user_id AS VARCHAR) AS icao24, ep AS first_seen, ep + 3600 AS last_seen,
+      'D' || CAST(user_id % 5 AS VARCHAR) AS est_departure_airport,
+      CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'K' || CAST(user_id % 7 AS VARCHAR) END AS est_arrival_airport,
+      row_number() OVER (PARTITION BY k, user_id ORDER BY event_id DESC) AS rn
+    FROM ev, (VALUES (0), (1), (2), (3)) b(k) WHERE event_type = 'signup' AND event_id % 4 <= k) t WHERE rn = 1)
+SELECT seq, sv.icao24, seq % 4 AS batch, first_seen, last_seen, est_departure_airport, est_arrival_airport
+FROM sv LEFT JOIN lists ON sv.icao24 = lists.icao24 AND lists.k = seq % 4""").replace("\n\n, lists", ",\nlists"))
+def q_stream_enriched(spark, sf_dir):
+    """J2 on the stream: four triggers, each with more of the flight list than the one before."""
+    base = scratch_path(spark, f"enriched-{uuid.uuid4().hex}")
+    states, flights = fx.state_vectors(spark, sf_dir), fx.flight_list(spark, sf_dir)
+    for k in range(4):
+        states.where(F.col("seq") % 4 == k).write.mode("append").parquet(f"{base}/in")
+        flights.where(F.col("seq") % 4 <= k).write.mode("overwrite").parquet(f"{base}/list")
+        stream = spark.readStream.schema(states.schema).parquet(f"{base}/in")
+        live.start_enriched_log(stream, lambda: spark.read.schema(flights.schema).parquet(f"{base}/list"), f"{base}/log", f"{base}/state",
+                                {"availableNow": True}, keep=["seq"]).awaitTermination()
+    return spark.read.parquet(f"{base}/log").select(
+        "seq", "icao24", F.col("batch").cast("long").alias("batch"), F.col("flight_info.firstSeen").alias("first_seen"),
+        F.col("flight_info.lastSeen").alias("last_seen"), F.col("flight_info.estDepartureAirport").alias("est_departure_airport"),
+        F.col("flight_info.estArrivalAirport").alias("est_arrival_airport"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from airmetrics.operators import filters as flt
@@ -10,7 +12,8 @@ from airmetrics.operators import profile as prof
 from airmetrics.plans.catalog import airports, flights, register
 from airmetrics.plans.oracle_sql import clock_sql, with_base
 from airmetrics.schemas import FLIGHT_COLUMNS
-from airmetrics.session import cut_lineage
+from airmetrics.session import cut_lineage, scratch_path
+from airmetrics.sources import files
 from airmetrics.sources import fixtures as fx
 
 # ----------------------------------------------------------------------------- raw oracle pieces
@@ -316,6 +319,14 @@ def q_facet_airports(spark, sf_dir):
     return flt.facet_airports(flights(spark, sf_dir))
 
 
+@register("stored_date_bounds", with_base("SELECT min(fl_date) AS min_date, max(fl_date) AS max_date FROM flights"))
+def q_stored_date_bounds(spark, sf_dir):
+    """P6 on the table stored by months: the dates of its outermost months alone."""
+    path = scratch_path(spark, f"bounds-{uuid.uuid4().hex}")
+    files.write_flights(flights(spark, sf_dir), path)
+    return spark.createDataFrame([files.stored_bounds(spark, path)], "min_date date, max_date date")
+
+
 @register("page_flights", _projection_sql("", "ORDER BY flight_id LIMIT 50 OFFSET 100"))
 def q_page_flights(spark, sf_dir):
     return flt.page(flt.flight_projection(flights(spark, sf_dir)), "flight_id", page_no=3, size=50)

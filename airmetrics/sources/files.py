@@ -83,3 +83,29 @@ def to_records(df: DataFrame) -> DataFrame:
     """Rows as JSON objects (one string column ``record``); null columns keep their key."""
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]),
                                {"ignoreNullFields": "false"}).alias("record"))
+
+
+def stored_months(spark: SparkSession, path: str) -> list[str]:
+    """The months ('yyyy-MM') of a month-partitioned table, from its folders."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/fl_month=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    names = [s.getPath().getName().split("=", 1)[1] for s in found]
+    return sorted(m for m in names if m not in ("unknown", "__HIVE_DEFAULT_PARTITION__"))
+
+
+def stored_bounds(spark: SparkSession, path: str) -> tuple:
+    """First and last day of a table stored by ``write_flights``. Only the dates of its first and last month are
+    read, whatever the table's size; months without rows are passed over. An empty table gives (None, None)."""
+    months = stored_months(spark, path)
+
+    def read(names: list[str]):
+        rows = spark.read.schema("fl_date date").parquet(*[f"{path.rstrip('/')}/fl_month={m}" for m in names])
+        return rows.agg(F.min("fl_date"), F.max("fl_date")).first()
+
+    while months:
+        lo, hi = read(sorted({months[0], months[-1]}))
+        seen = {f"{d:%Y-%m}" for d in (lo, hi) if d is not None}
+        if seen == {months[0], months[-1]}:
+            return lo, hi
+        months = [m for m in months if m in seen or m not in (months[0], months[-1])]
+    return None, None

@@ -68,7 +68,7 @@ def main() -> None:
     rows = flights.count()
 
     # 2. cold single queries over the default window
-    win = timed(q, "date_bounds", lambda: flt.window_from_bounds(flights))
+    win = timed(q, "date_bounds", lambda: flt.resolve_window(None, None, *files.stored_bounds(spark, f"{base}/flights")))
     frame = flt.between_dates(flights, win.start, win.end)
     timed(q, "load_filtered_rows", lambda: frame.count())
     timed(q, "facet_routes_planes_airlines", lambda: (flt.facet_routes(frame).collect(),

@@ -81,3 +81,17 @@ def test_read_materialized(spark, flights_small):
     materialize_dashboard(flights_small, catalog.airports(spark, SF_SMALL), base)
     got = read_materialized(spark, base)
     assert len(got) == 15 and len(got["delay_by_state"]) == 5
+
+
+def test_stored_bounds_read_the_outermost_months(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.sql("SELECT id AS flight_id, if(id = 5, null, date_add(DATE '2020-01-15', cast(id * 10 AS int))) AS fl_date FROM range(20)")
+    files.write_flights(rows, path)
+    assert [str(d) for d in files.stored_bounds(spark, path)] == ["2020-01-15", "2020-07-23"]
+    for month in ("2019-12", "2020-08"):  # folders whose rows were all removed
+        rows.select("flight_id", "fl_date").limit(0).write.parquet(f"{path}/fl_month={month}")
+    assert [str(d) for d in files.stored_bounds(spark, path)] == ["2020-01-15", "2020-07-23"]
+    files.write_flights(rows.where("flight_id < 0"), str(tmp_path / "e"))
+    assert files.stored_bounds(spark, str(tmp_path / "e")) == (None, None)
+    files.write_flights(rows.where("flight_id = 5"), str(tmp_path / "u"))
+    assert files.stored_bounds(spark, str(tmp_path / "u")) == (None, None)

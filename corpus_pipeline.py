@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and read again as the next stage's documents. All but the last return the columns of
 ``documents``. SQL cannot express the trained stages, so ``ORACLE_SQL`` is None; the tests
-hold the stages against brute force.
+check the stages by behaviour on small inputs.
 """
 
 from __future__ import annotations
@@ -29,13 +29,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = found.where("not kept").select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).distinct()
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     # the dropped rows are the smaller side: one join on (id, text hash), then copies of one and the same row
-    left = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("g_id")) & (F.xxhash64(text) == F.col("g_hash")), "left_anti")
+    left = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["g_id"]) & (F.xxhash64(text) == gone["g_hash"]), "left_anti")
     twice = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("t_id"))
     twice = stored(twice, "repeated-ids")
     if not twice.take(1):
         return left
-    return left.join(twice, F.col("doc_id") == F.col("t_id"), "left_anti").unionByName(
-        left.join(twice, F.col("doc_id") == F.col("t_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left.join(twice, left["doc_id"] == twice["t_id"], "left_anti").unionByName(
+        left.join(twice, left["doc_id"] == twice["t_id"], "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,8 +22,9 @@ link when the Jaccard similarity of their sets is ``threshold`` (0.8) or more.
   groups, so no task holds a whole group. A block returns link counts and merge edges only.
 
 Defined results: null or empty text: no links, its own class; repeated rows and ids are each
-a row (copies link); ties: a class is named by its smallest id; null ids link
-with nothing; an empty table gives no rows; other columns are ignored.
+a row (copies link); ties: a class is named by its smallest id; rows with a null
+id are compared and counted like any other, name no class and are always kept; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ from airmetrics.operators import charts
 from airmetrics.operators import modelling as mdl
 from airmetrics.operators.histogram import histogram
 from airmetrics.plans.oracle_sql import with_base
+from airmetrics.session import configure
 from airmetrics.sources import fixtures as fx
 
 
@@ -29,8 +31,13 @@ REGISTRY: dict[str, Query] = {}
 
 
 def register(name: str, oracle: str | None):
+    """Every query applies the runtime settings to the session it is given: without them the cleaning
+    projection stays one interpreted method above the JIT's size limit."""
     def deco(fn):
-        REGISTRY[name] = Query(fn, oracle)
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(configure(spark), sf_dir)
+        REGISTRY[name] = Query(run, oracle)
         return fn
     return deco
 

@@ -18,7 +18,7 @@ from airmetrics.plans import day_charts
 from airmetrics.plans.catalog import airports, flights, register
 from airmetrics.plans.oracle_sql import with_base
 from airmetrics.schemas import FLIGHT_COLUMNS, SOURCE_TO_CANONICAL
-from airmetrics.session import cut_lineage, scratch_path
+from airmetrics.session import cut_lineage, scratch_path, stored
 from airmetrics.sources import buckets, files, ledger
 from airmetrics.sources import fixtures as fx
 from airmetrics.sources import tables as tbl
@@ -204,9 +204,9 @@ def _two_loads(spark, sf_dir) -> tuple[str, str]:
         valid, rejected = tbl.incremental_append(batch, loaded=loaded)
         files.append_table(tbl.with_unique_id(valid, last), valid_path)
         files.append_table(rejected, rejected_path)
-        stored = spark.read.parquet(valid_path)
-        loaded = stored.select(*_NO_KEY).union(spark.read.parquet(rejected_path).select(*_NO_KEY))
-        last = tbl.high_water_mark(stored) or 0
+        taken = spark.read.parquet(valid_path)
+        loaded = taken.select(*_NO_KEY).union(spark.read.parquet(rejected_path).select(*_NO_KEY))
+        last = tbl.high_water_mark(taken) or 0
     return valid_path, rejected_path
 
 
@@ -230,7 +230,7 @@ _DELIVERIES = [("a.csv", "fl_date < DATE '1993-01-01'"), ("b.csv", "fl_date >= D
 
 def _five_loads(spark, sf_dir) -> str:
     """Five deliveries; the fourth is the first one again, with further rows."""
-    source = flights(spark, sf_dir).select(*_NO_KEY)
+    source = stored(flights(spark, sf_dir).select(*_NO_KEY), "deliveries")  # the five read it six times
     path = _fresh(spark, "ledger")
     for name, rows in _DELIVERIES:
         ledger.load(source.where(rows), name, path)

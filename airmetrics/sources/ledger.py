@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from airmetrics.session import cut_lineage
+from airmetrics.session import stored
 from airmetrics.sources.tables import default_rules, not_loaded, with_unique_id
 
 LEDGER = "load_id long, source string, n_read long, n_compared long, n_new long, n_valid long, n_rejected long"
@@ -74,7 +74,7 @@ def load(src: DataFrame, source: str, path: str, rules=None, before_line: Callab
     error = F.lit(None).cast("string")
     for _, ok, text in reversed(rules or default_rules()):
         error = F.when(~F.coalesce(ok, F.lit(False)), F.lit(text)).otherwise(error)
-    tagged = cut_lineage(new.withColumn("error", error))
+    tagged = stored(new.withColumn("error", error), "load")
     good = with_unique_id(tagged.where("error is null"), lines["valid"] or 0)
     bad = tagged.where("error is not null").withColumn("flight_id", F.lit(None).cast("long"))
     out = good.unionByName(bad).withColumn("source", F.lit(source)).withColumn("load_id", F.lit(load_id).cast("long"))
@@ -82,6 +82,8 @@ def load(src: DataFrame, source: str, path: str, rules=None, before_line: Callab
     counts = tagged.agg(F.count("*").alias("new"), F.count("error").alias("bad")).first()
     if before_line is not None:
         before_line()
-    line = spark.createDataFrame([(load_id, source, src.count(), compared, counts["new"], counts["new"] - counts["bad"], counts["bad"])], LEDGER)
+    # without a comparison every row read is new: the source is not read again to count it
+    read = src.count() if compared else counts["new"]
+    line = spark.createDataFrame([(load_id, source, read, compared, counts["new"], counts["new"] - counts["bad"], counts["bad"])], LEDGER)
     line.repartition(1).write.mode("append").parquet(f"{path}/ledger")
     return line.first()

@@ -18,7 +18,7 @@ from airmetrics.plans import day_charts
 from airmetrics.plans.catalog import airports, flights, register
 from airmetrics.plans.oracle_sql import with_base
 from airmetrics.schemas import FLIGHT_COLUMNS, SOURCE_TO_CANONICAL
-from airmetrics.session import cut_lineage, scratch_path, stored
+from airmetrics.session import scratch_path, stored
 from airmetrics.sources import buckets, files, ledger
 from airmetrics.sources import fixtures as fx
 from airmetrics.sources import tables as tbl
@@ -197,7 +197,7 @@ _NO_KEY = [c for c in FLIGHT_COLUMNS if c != "flight_id"]
 def _two_loads(spark, sf_dir) -> tuple[str, str]:
     """S6 for records without a key: a first load of the early rows, then one of the whole
     source; each takes what the stored rows lack. Returns the folders of (valid, rejected)."""
-    source = cut_lineage(mdl.build_flights(fx.flights_raw(spark, sf_dir).drop("FLIGHT_ID")).drop("flight_id"))
+    source = stored(mdl.build_flights(fx.flights_raw(spark, sf_dir).drop("FLIGHT_ID")).drop("flight_id"), "load-source")
     valid_path, rejected_path = _fresh(spark, "loads-valid"), _fresh(spark, "loads-rejected")
     loaded, last = None, 0
     for batch in (source.where(F.col("fl_date") < F.lit("1998-01-01").cast("date")), source):

@@ -32,3 +32,8 @@ def test_deliveries_come_from_one_stored_source(spark, monkeypatch):
     monkeypatch.setattr(ledger, "load", lambda src, *args: seen.append(set(src.inputFiles())))
     queries_io._five_loads(spark, SF_SMALL)
     assert len(seen) == 5 and all("/deliveries-" in f for files in seen for f in files)
+
+
+def test_two_loads_keep_no_row_checkpoint(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", _no("rows checkpointed"))
+    assert catalog.all_queries()["unique_flight_ids"].run(spark, SF_SMALL).first()["first_id"] == 1

@@ -90,7 +90,7 @@ def q_csv_round_trip(spark, sf_dir):
     raw = fx.flights_raw(spark, sf_dir)
     path = _fresh(spark, "raw-csv")
     wide = raw.withColumnsRenamed({c: name for name, c in SOURCE_TO_CANONICAL.items()})
-    files.write_csv(wide.select(*reversed(wide.columns)), path)
+    files.write_csv(wide.select(*reversed(wide.columns)), path, compression="gzip")
     return mdl.build_flights(files.read_flights_csv(spark, path))
 
 

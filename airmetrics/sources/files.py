@@ -38,13 +38,14 @@ def read_flights_csv(spark: SparkSession, path: str, schema: T.StructType | None
     return rows.select(*keep, *[f"`{c}`" for c in extra_columns or []])
 
 
-def write_csv(df: DataFrame, path: str, single: bool = False, mode: str = "overwrite") -> None:
+def write_csv(df: DataFrame, path: str, single: bool = False, mode: str = "overwrite", compression: str = "none") -> None:
     """CSV with a header and no index column. ``single`` writes one file:
     the query still runs in parallel and only the last step (one shuffle into one
     partition, then the write) is a single task, so keep it for small results
-    such as a query download."""
+    such as a query download. ``compression`` (as Spark's CSV option, e.g. gzip) keeps wide text
+    small; each file is then read by one task, so use it with one file per write task."""
     out = df.repartition(1) if single else df
-    out.write.mode(mode).option("header", True).csv(path)
+    out.write.mode(mode).option("header", True).option("compression", compression).csv(path)
 
 
 def with_month(flights: DataFrame) -> DataFrame:

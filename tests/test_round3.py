@@ -37,3 +37,8 @@ def test_deliveries_come_from_one_stored_source(spark, monkeypatch):
 def test_two_loads_keep_no_row_checkpoint(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "checkpoint", _no("rows checkpointed"))
     assert catalog.all_queries()["unique_flight_ids"].run(spark, SF_SMALL).first()["first_id"] == 1
+
+
+def test_csv_round_trip_writes_compressed_files(spark):
+    files = catalog.all_queries()["csv_round_trip"].run(spark, SF_SMALL).inputFiles()
+    assert files and all(f.endswith(".csv.gz") for f in files)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from airmetrics.plans import delay_model as dm
 from airmetrics.plans.catalog import flights, register
 from airmetrics.plans.oracle_sql import with_base
-from airmetrics.session import scratch_path
+from airmetrics.session import scratch_path, stored
 
 MODEL_CTES = """
 tf AS (
@@ -28,7 +28,7 @@ sc AS (
 
 
 def _frames(spark, sf_dir):
-    tf = dm.training_frame(flights(spark, sf_dir))
+    tf = stored(dm.training_frame(flights(spark, sf_dir)), "training-frame")  # fit, encoding and scores all read it
     return dm.split(tf)
 
 

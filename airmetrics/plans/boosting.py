@@ -24,13 +24,15 @@ import json
 import math
 import sys
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD, StorageLevel, cloudpickle
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.ml.wrapper import JavaWrapper
+from pyspark.serializers import CPickleSerializer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,12 +61,12 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
-def ensemble(spark: SparkSession, trees: list[DecisionTreeRegressionModel], step: float) -> GBTRegressionModel:
-    """One model of ``trees``, each with weight ``step``: rows pass all of them in one projection."""
-    jvm = spark._jvm
-    members = JavaWrapper._new_java_array([t._java_obj for t in trees], jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel)
+def ensemble(spark: SparkSession, trees: list, step: float):
+    """One model (of the JVM) of the JVM's ``trees``, each with weight ``step``: rows pass all of them in one projection."""
+    kind = spark._jvm.org.apache.spark.ml.regression
+    members = JavaWrapper._new_java_array(trees, kind.DecisionTreeRegressionModel)
     weights = JavaWrapper._new_java_array([float(step)] * len(trees), spark._sc._gateway.jvm.double)
-    return GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"boost_{uuid.uuid4().hex[:12]}", members, weights))
+    return kind.GBTRegressionModel(f"boost_{uuid.uuid4().hex[:12]}", members, weights)
 
 
 def _keep(spark: SparkSession, values: list, number: str, name: str, kind: str, path: str) -> None:
@@ -325,29 +327,29 @@ def _grow(cells: Cells, root: np.ndarray, bins: list[int], depth: int) -> tuple[
     return levels, value, nodes, squares
 
 
-def _as_model(spark: SparkSession, nodes: dict, squares: np.ndarray, cuts: list[np.ndarray]) -> DecisionTreeRegressionModel:
-    """The tree as a model of Spark ML: means, variances, counts and gains of its nodes, splits at the candidates' values."""
-    jvm, gateway = spark._jvm, spark.sparkContext._gateway
-    # each dot is a call to the JVM
-    number, part, calculator = jvm.double, jvm.org.apache.spark.ml.tree, jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator
+def _as_model(spark: SparkSession, nodes: dict, squares: np.ndarray, cuts: list[np.ndarray]):
+    """The tree as the JVM's model of Spark ML: means, variances, counts and gains of its nodes, splits at the candidates' values."""
+    jvm, origin = spark._jvm, _used(cuts)
+    # each dot, each array element and each new object is a call to the JVM: names are looked up once, numbers sent at once
+    part, calculator = jvm.org.apache.spark.ml.tree, jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator
     leaf, inner, continuous = part.LeafNode, part.InternalNode, part.ContinuousSplit
-    origin = _used(cuts)
+    numbers = {}
+    for (level, node), (n, s, _) in nodes.items():
+        width = len(squares) >> level
+        numbers[level, node] = array("d", (n, s, squares[node * width:(node + 1) * width].sum()))
+    place = {key: i for i, key in enumerate(numbers)}
+    sent = jvm.org.apache.spark.ml.python.MLSerDe.loads(bytearray(CPickleSerializer().dumps(list(numbers.values()))))
 
     def build(level, node):
-        n, s, split = nodes[level, node]
-        width = len(squares) >> level
-        q = float(squares[node * width:(node + 1) * width].sum())
-        stats = gateway.new_array(number, 3)
-        stats[0], stats[1], stats[2] = n, s, q
-        mean, variance, about = s / n, max(q / n - (s / n) ** 2, 0.0), calculator(stats, int(n))
+        (n, s, q), split = numbers[level, node], nodes[level, node][2]
+        mean, variance, about = s / n, max(q / n - (s / n) ** 2, 0.0), calculator(sent.get(place[level, node]), int(n))
         if split is None:
             return leaf(mean, variance, about)
         f, k, gain = split
         return inner(mean, variance, gain, build(level + 1, 2 * node), build(level + 1, 2 * node + 1),
                      continuous(origin[f], float(cuts[origin[f]][k])), about)
 
-    return DecisionTreeRegressionModel(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel(
-        f"tree_{uuid.uuid4().hex[:12]}", build(0, 0), len(cuts)))
+    return jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel(f"tree_{uuid.uuid4().hex[:12]}", build(0, 0), len(cuts))
 
 
 # --------------------------------------------------------------------------- rounds
@@ -374,7 +376,7 @@ def boost(data: DataFrame, path: str, rounds: int = 1000, depth: int = 6, step:
         remove(spark, place(0, "given"))
     cuts = [np.array(r["cut"], float) for r in spark.read.parquet(place(0, "cuts")).orderBy("feature").collect()]
     bins = [len(cuts[i]) + 1 for i in _used(cuts)]
-    trees = [t for n in range(1, done + 1) for t in GBTRegressionModel.load(place(n, "trees")).trees]
+    trees = [t for n in range(1, done + 1) for t in GBTRegressionModel.load(place(n, "trees"))._java_obj.trees()]
 
     def look(cells):
         found = cells.total(lambda it: _error_and_root(it, len(bins)))
@@ -390,7 +392,7 @@ def boost(data: DataFrame, path: str, rounds: int = 1000, depth: int = 6, step:
             levels, value, nodes, squares = _grow(cells, root, bins, depth)
             fresh.append(_as_model(spark, nodes, squares, cuts))
             trees.append(fresh[-1])
-            left = cells.map(_step(levels, value, ensemble(spark, fresh[-1:], step).treeWeights[0]))
+            left = cells.map(_step(levels, value, ensemble(spark, fresh[-1:], step).treeWeights()[0]))
             error, root = look(left)
             history.append(error)
             cells.forget()
@@ -407,4 +409,4 @@ def boost(data: DataFrame, path: str, rounds: int = 1000, depth: int = 6, step:
     cells.forget()
     best = best_round(history)
     # the mean alone: one tree that counts for nothing
-    return (ensemble(spark, trees[:best], step) if best else ensemble(spark, trees[:1], 0.0)), history
+    return GBTRegressionModel(ensemble(spark, trees[:best], step) if best else ensemble(spark, trees[:1], 0.0)), history

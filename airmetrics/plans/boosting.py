@@ -107,8 +107,9 @@ def _cuts(rows: DataFrame) -> list[np.ndarray]:
     if bad:
         raise ValueError(f"{bad} rows to learn from without a residual")
     points = min(n, RANKS)
-    grid = F.lit((np.arange(points) + 0.5) / points)  # of few rows, each of them once
-    found = fit.agg(*[F.percentile_approx(F.col("x")[i], grid, RANKS) for i in range(width)]).first()
+    grid = ((np.arange(points) + 0.5) / points).tolist()  # of few rows, each of them once
+    # not as an aggregate: so many numbers in a plan fill the driver with the plan's texts
+    found = fit.select(*[F.col("x")[i].alias(f"x{i}") for i in range(width)]).approxQuantile([f"x{i}" for i in range(width)], grid, 1 / RANKS)
     return [split_points(np.array(v, float)) for v in found]
 
 
